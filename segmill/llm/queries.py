@@ -8,6 +8,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .langid import op10
 from .minhash import near_duplicates
+from .packing import op4
 from .toxicity import op3
 
 
@@ -19,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_toxicity": op3_toxicity,
+        "op4_packing": op4_packing,
         "op7_minhash": op7_minhash,
         "op10_language_id": op10_language_id,
     }
