@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .langid import op10
 from .minhash import near_duplicates
 from .packing import op4
+from .sentencepiece_unigram import op1
 from .toxicity import op3
 
 
@@ -20,6 +21,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
