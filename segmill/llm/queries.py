@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ann
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import op10
@@ -29,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op5(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
+        "op5_nearest": op5_nearest,
         "op7_minhash": op7_minhash,
         "op10_language_id": op10_language_id,
     }
@@ -50,6 +56,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_nearest": ann.ORACLE,
         "op2_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
             g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
