@@ -11,6 +11,7 @@ from .langid import op10
 from .minhash import near_duplicates
 from .packing import op4
 from .sentencepiece_unigram import op1
+from .site_style import main_text
 from .toxicity import op3
 
 
@@ -34,6 +35,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.op5(table(spark, sf_dir, "embeddings"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op5_nearest": op5_nearest,
         "op7_minhash": op7_minhash,
+        "op8_html_text": op8_html_text,
         "op10_language_id": op10_language_id,
     }
 
