@@ -11,7 +11,7 @@ from .common import _C, Scratch, in_chunks, mix64, shingle_sets, whole_text
 from .components import components
 
 BANDS, ROWS = 32, 5  # a pair of similarity 0.8 misses every band with probability 3e-6
-TILE = 256  # documents in a block of a residual bucket
+TILE = 1024  # documents in a block of a residual bucket
 
 _U = np.uint64
 
@@ -113,23 +113,24 @@ def _tile_links(percent: int):
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        sets = [np.frombuffer(s, np.uint64) for s in left.shingles] + [np.frombuffer(s, np.uint64) for s in right.shingles]
-        n, sizes = len(left), np.array([len(s) for s in sets])
-        values, cols = np.unique(np.concatenate(sets), return_inverse=True)
-        rows = np.repeat(np.arange(len(sets)), sizes)
+        same = pdf.i.iloc[0] == pdf.j.iloc[0]
+        rows_of = pdf.sort_values("side", kind="stable")
+        n = len(pdf) if same else int((pdf.side == 0).sum())
+        second = slice(0, n) if same else slice(n, None)
+        sets = [np.frombuffer(s, np.uint64) for s in rows_of.shingles]
+        ids, comp = rows_of.doc_id.to_numpy(), rows_of.component.to_numpy()
+        sizes = np.array([len(s) for s in sets])
+        cols = np.unique(np.concatenate(sets), return_inverse=True)[1]
         keep = (np.bincount(cols) > 1)[cols]
-        rows, (shared, cols) = rows[keep], np.unique(cols[keep], return_inverse=True)
-        common = np.zeros((n, len(sets) - n), np.float32)
-        for c in range(0, len(shared), 4096):
-            inside = (cols >= c) & (cols < c + 4096)
-            m = np.zeros((len(sets), min(4096, len(shared) - c)), np.float32)
+        rows, (shared, cols) = np.repeat(np.arange(len(sets)), sizes)[keep], np.unique(cols[keep], return_inverse=True)
+        common = np.zeros((n, len(sizes[second])), np.float32)
+        for c in range(0, len(shared), 2048):
+            inside = (cols >= c) & (cols < c + 2048)
+            m = np.zeros((len(sets), min(2048, len(shared) - c)), np.float32)
             m[rows[inside], cols[inside] - c] = 1
-            common += m[:n] @ m[n:].T
-        union = sizes[:n, None] + sizes[None, n:] - common
-        comp = pdf.component.to_numpy()
-        comp = np.concatenate([left.component.to_numpy(), right.component.to_numpy()])
-        ids = np.concatenate([left.doc_id.to_numpy(), right.doc_id.to_numpy()])
+            common += m[:n] @ m[second].T
+        linked = 100 * common >= percent * (sizes[:n, None] + sizes[None, second] - common)
+        linked &= comp[:n, None] != comp[None, second]
         root = {int(c): int(c) for c in comp}
 
         def find(c: int) -> int:
@@ -138,11 +139,11 @@ def _tile_links(percent: int):
             return c
 
         out = []
-        for i, j in zip(*np.nonzero(100 * common >= percent * union), strict=True):
-            p, q = find(int(comp[i])), find(int(comp[n + j]))
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            p, q = find(int(comp[i])), find(int(comp[second][j]))
             if p != q:
                 root[max(p, q)] = min(p, q)
-                out.append((ids[i], ids[n + j]))
+                out.append((ids[i], ids[second][j]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -202,8 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = known.join(open_, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         here = F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        rest = rest.select("key", "doc_id", "component", here.alias("t"), F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("own") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1))).alias("sides"))
-        rest = rest.select("key", "t.i", "t.j", "doc_id", "component", F.explode("sides").alias("side")).join(sets, "doc_id")
+        rest = rest.select("key", here.alias("t"), "doc_id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
+        rest = rest.select("key", "t.i", "t.j", "doc_id", "component", "side").join(sets, "doc_id")
         more = rest.groupBy("key", "i", "j").applyInPandas(_tile_links(percent), "a long, b long").distinct()
         links = scratch.write(links.unionByName(more), "all_links")
         first = scratch.write(components(links, scratch, "second"), "second")
