@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ann
 from .common import table
 from .exact_dedup import exact_dedup
+from .katz import op9
 from .langid import op10
 from .minhash import near_duplicates
 from .packing import op4
@@ -39,6 +40,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def queries() -> dict:
         "op5_nearest": op5_nearest,
         "op7_minhash": op7_minhash,
         "op8_html_text": op8_html_text,
+        "op9_katz": op9_katz,
         "op10_language_id": op10_language_id,
     }
 
