@@ -116,23 +116,46 @@ class Model:
         return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
+def _labels(model: Model, texts: list) -> tuple[list[str], np.ndarray]:
+    real = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.langs else []
+    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+    if real:
+        pooled = model.pooled([texts[i].lower().encode() for i in real])
+        for i, k, p in zip(real, pooled.argmax(axis=1), pooled.max(axis=1), strict=True):
+            lang[i], score[i] = model.langs[k], min(1.0, p)
+    return lang, score
+
+
 def _score(shared):
     def run(batches):
-        model = shared.value
         for whole in batches:
             for b in in_chunks(whole, "text", 400_000):
-                texts = b.column("text").to_pylist()
-                real = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.langs else []
-                lang, score = ["und"] * len(texts), np.zeros(len(texts))
-                if real:
-                    pooled = model.pooled([texts[i].lower().encode() for i in real])
-                    for i, k, p in zip(real, pooled.argmax(axis=1), pooled.max(axis=1), strict=True):
-                        lang[i], score[i] = model.langs[k], min(1.0, p)
+                lang, score = _labels(shared.value, b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def _keep(shared, text_col: str, least: float):
+    def run(batches):
+        for whole in batches:
+            for b in in_chunks(whole, text_col, 400_000):
+                lang, score = _labels(shared.value, b.column(text_col).to_pylist())
+                yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, least: float, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language that :func:`identify` gives a score of ``least`` or more.
+
+    One pass without a shuffle.  Without labelled rows nothing can be identified, so no row stays.
+    """
+    rows = sample(docs, F.lit(True) if train is None else train, id_col, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(Model.fit(rows))
+    return docs.mapInArrow(_keep(shared, text_col, least), docs.schema)
+
+
 def identify(docs: DataFrame, train=None, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, lang_pred, score (the pooled probability of that language, 0 to 1).
 

@@ -262,6 +262,28 @@ def _score(shared):
     return run
 
 
+def _keep(shared, text_col: str):
+    def run(batches):
+        for whole in batches:
+            for b in in_chunks(whole, text_col, 800_000):
+                scores = shared.value.scores([(t or "").lower().encode() for t in b.column(text_col).to_pylist()])
+                yield b.filter(pa.array(scores < 0.5))
+
+    return run
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None, train, id_col: str, text_col: str, label_col: str):
+    rows, share = sample(docs if labelled is None else labelled, labels, F.lit(True) if train is None else train, id_col, text_col, label_col)
+    model = Model.learn([bytes(t) for _, t in rows], np.array([y for y, _ in rows], np.int64), share)
+    return docs.sparkSession.sparkContext.broadcast(model)  # some MB: bounded by the sample
+
+
+def keep_harmless(docs: DataFrame, labels: DataFrame, train=None, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`toxicity` does not predict as toxic; one pass without a shuffle."""
+    shared = _learnt(docs, labels, labelled, train, id_col, text_col, label_col)
+    return docs.mapInArrow(_keep(shared, text_col), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, train=None, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per document: doc_id, score (0 to 1), predicted (1 if score >= 0.5, else 0).
 
@@ -272,9 +294,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train=None, labelled: DataFrame
     (``docs`` by default).  Null, empty or wordless text scores 0.018.  With labels of one class only, all score that way.
     Rows are scored one by one, so repeated ids and ties do not matter; an empty table gives no rows.
     """
-    rows, share = sample(docs if labelled is None else labelled, labels, F.lit(True) if train is None else train, id_col, text_col, label_col)
-    model = Model.learn([bytes(t) for _, t in rows], np.array([y for y, _ in rows], np.int64), share)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some MB: bounded by the sample
+    shared = _learnt(docs, labels, labelled, train, id_col, text_col, label_col)
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(shared), "doc_id long, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
