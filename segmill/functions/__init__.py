@@ -1 +1 @@
-
+"""Scalar, array and image functions."""

@@ -1 +1 @@
-
+"""Whole plans, from a score table to segments."""

@@ -1 +1 @@
-
+"""Streaming forms of ordered operators."""
