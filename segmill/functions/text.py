@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LINK = r"""https?://[^\s"'<>]+"""
 EXTENSIONS = ("mp4", "mkv", "avi", "mov", "flv", "wmv")
 # Names of the detectors.
-ENGINES = {"content": "ContentDetector", "adaptive": "AdaptiveDetector", "precise": "TransNetV2"}
+ENGINES = {"content": "ContentDetector 内容变化", "adaptive": "AdaptiveDetector 自适应智能", "precise": "HighPrecision 高精度模型"}
 
 
 def links(text: Column) -> Column:

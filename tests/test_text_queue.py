@@ -32,7 +32,7 @@ def test_readings(spark):
         value(spark, T.duration(lit("x"), lit("y")))
     assert value(spark, T.error_text(F.array(lit(" "), lit("a"), lit(None), lit("b")))) == "a\nb"
     assert [value(spark, T.language(lit(p), lit(s))) for p, s in (("auto", "ZH"), ("auto", "fr"), ("en", "zh"))] == ["zh", "en", "en"]
-    assert [value(spark, T.engine_name(lit(e))) for e in ("content", "adaptive", "?")] == ["ContentDetector", "AdaptiveDetector", "ContentDetector"]
+    assert [value(spark, T.engine_name(lit(e))) for e in ("content", "adaptive", "?")] == [T.ENGINES[k] for k in ("content", "adaptive", "content")]
     assert value(spark, T.formatted(lit("{0} of {1}"), lit(1), lit("x"))) == "1 of x"
     assert [value(spark, params.valid_number(lit(x), 1, 16, True)) for x in ("16", "0", "x", "17")] == [16, None, None, None]
     assert value(spark, params.threshold(lit(0.75))) == 0.25 and value(spark, params.adaptive_threshold(lit(0.75))) == 0.163
