@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .katz import op9
 from .langid import op10
+from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .packing import op4
 from .sentencepiece_unigram import op1
@@ -40,6 +41,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_packing": op4_packing,
         "op5_nearest": op5_nearest,
+        "op6_line_dedup": op6_line_dedup,
         "op7_minhash": op7_minhash,
         "op8_html_text": op8_html_text,
         "op9_katz": op9_katz,
