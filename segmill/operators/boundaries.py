@@ -16,6 +16,11 @@ def no_times() -> Column:
     return F.array().cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` (or a lambda inside it) uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def min_gap(times: Column, gap, strict: bool = True, seed: Column | None = None) -> Column:
     """Scans ascending times and keeps one iff it lies more than (not strict: at least) ``gap`` after the last kept one."""
     gap = gap if isinstance(gap, Column) else F.lit(float(gap))
@@ -34,7 +39,7 @@ def detected(times: Column, gap) -> Column:
 
 def zero_start(times: Column) -> Column:
     """Puts 0 first if there is no time, or the first is above 0.1."""
-    return F.when((F.size(times) == 0) | (F.element_at(times, 1) > 0.1), F.concat(F.array(F.lit(0.0)), times)).otherwise(times)
+    return let(times, lambda ts: F.when((F.size(ts) == 0) | (F.try_element_at(ts, F.lit(1)) > 0.1), F.concat(F.array(F.lit(0.0)), ts)).otherwise(ts))
 
 
 def enforce_gap(times: Column, gap) -> Column:
@@ -45,18 +50,17 @@ def enforce_gap(times: Column, gap) -> Column:
 def far_from(times: Column, others: Column, distance) -> Column:
     """Times with no other within ``distance`` (a range anti join inside the row)."""
     distance = distance if isinstance(distance, Column) else F.lit(float(distance))
-    return F.filter(times, lambda t: ~F.exists(others, lambda o: F.abs(t - o) < distance))
+    return let(others, lambda os: F.filter(times, lambda t: ~F.exists(os, lambda o: F.abs(t - o) < distance)))
 
 
 def adaptive_merge(primary: Column, sensitive: Column, gap) -> Column:
     """Primary cuts and those sensitive ones that are far from them, and from each other."""
-    extra = min_gap(far_from(sensitive, primary, gap), gap, strict=False)
-    return F.array_sort(F.concat(primary, extra))
+    return let(primary, lambda ps: F.array_sort(F.concat(ps, min_gap(far_from(sensitive, ps, gap), gap, strict=False))))
 
 
 def head_rescan(times: Column, extras: Column, gap, near: float = 0.3) -> Column:
     """Adds extra cuts not within ``near`` of a present one, then enforces the gap; an extra may displace a later cut."""
-    return enforce_gap(F.concat(times, far_from(extras, times, near)), gap)
+    return let(times, lambda ts: enforce_gap(F.concat(ts, far_from(extras, ts, near)), gap))
 
 
 def range_anti_join(left: DataFrame, right: DataFrame, key: str, time: str, distance: float) -> DataFrame:

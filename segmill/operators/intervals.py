@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from segmill.functions.text import directory, stem
 
+from .boundaries import let
+
 SHORTEST = 0.5  # seconds; shorter intervals are dropped
 
 
 def intervals(times: Column, end: Column) -> Column:
     """(t, dur) of each time to the next one, the last to ``end``."""
-    return F.transform(times, lambda t, i: F.struct(t.alias("t"), (F.when(i + 1 < F.size(times), F.get(times, i + 1)).otherwise(end) - t).alias("dur")))
+    def pieces(ts: Column) -> Column:
+        return F.transform(ts, lambda t, i: F.struct(t.alias("t"), (F.when(i + 1 < F.size(ts), F.get(ts, i + 1)).otherwise(end) - t).alias("dur")))
+
+    return let(times, pieces)
 
 
 def long_enough(pieces: Column, shortest: float = SHORTEST) -> Column:
