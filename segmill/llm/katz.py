@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_mod, in_chunks, mix64, whole_text, word_hashes
 
 K = 5  # counts up to K are discounted
-BLOCK_BYTES = 6_000_000  # text of a block: documents whose tokens share a dictionary
+BLOCK_BYTES = 3_000_000  # text of a block: documents whose tokens share a dictionary
 WORDS_PER_BUCKET = 1_500_000  # distinct words of all blocks that meet in a bucket of the word table, about
-TOKENS_PER_BUCKET = 1_500_000  # tokens whose pairs meet in a bucket of the pair table, about
+TOKENS_PER_BUCKET = 750_000  # tokens whose pairs meet in a bucket of the pair table, about
 HOT = 1000  # a word with over 1/HOT of all training tokens is hot: there are fewer than HOT of them
 END, BEGIN = np.uint64(1), np.uint64(2)  # hashes of the marks that close and open a text; words avoid them
 _U = np.uint64
@@ -33,7 +33,7 @@ def packed(*arrays: np.ndarray) -> bytes:
         if a.dtype.kind != "f":
             a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
         head.append([a.dtype.str, len(a)])
-        body.append(a.tobytes())
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())  # byte planes compress better
     text = json.dumps(head).encode()
     return len(text).to_bytes(4, "little") + text + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
@@ -42,8 +42,9 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     data, at, out = zstandard.ZstdDecompressor().decompress(blob[4 + n :]), 0, []
     for kind, size in json.loads(blob[4 : 4 + n]):
-        a = np.frombuffer(data, kind, size, at)
-        at += a.nbytes
+        width = np.dtype(kind).itemsize
+        a = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T).view(kind).ravel()
+        at += size * width
         out.append(a if a.dtype.kind == "f" else a.astype(np.uint64 if a.dtype.itemsize == 8 else np.int64))
     return out
 
@@ -56,17 +57,25 @@ def _deltas(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches):
-    """One row per block: its documents' ids and training flags, its words' hashes (sorted), and its tokens as places among them."""
+    """One row per block: its documents' ids and training flags, its words' hashes (most frequent first), and its tokens as places among them."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 32
     for whole in batches:
         for b in in_chunks(whole, "text", BLOCK_BYTES):
             h, n = word_hashes(b.column("text").cast("binary").to_pylist())
             h = np.where(h < 8, h + _U(8), h)
             tokens = np.insert(h, np.cumsum(n), END)
-            words, local = np.unique(tokens, return_inverse=True)
+            words, local, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            often = np.argsort(-times, kind="stable")  # frequent words get small numbers, which take little room
+            place = np.empty(len(often), np.int64)
+            place[often] = np.arange(len(often))
+            words, local = words[often], place[local]
             ids = np.array(b.column("doc_id").to_pylist(), np.int64)
             train = np.array(b.column("train").to_pylist(), np.uint8)
             blob = packed(ids.view(np.uint64), train, n + 1, words, local)
-            yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([len(words)]), pa.array([len(tokens)]), pa.array([blob], pa.binary())], ["block", "words", "tokens", "data"])
+            block += 1
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(words)]), pa.array([len(tokens)]), pa.array([blob], pa.binary())], ["block", "words", "tokens", "data"])
 
 
 def _counted(words: np.ndarray, local: np.ndarray, lens: np.ndarray, train: np.ndarray) -> np.ndarray:
@@ -81,7 +90,7 @@ def _word_requests(buckets: int):
                 words = words.astype(np.uint64)
                 counts = _counted(words, local, lens, train)
                 to = (mix64(words) % _U(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
+                order = np.lexsort((words, to))
                 cuts = np.searchsorted(to[order], np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(cuts))
                 blobs = [packed(_deltas(words[order[cuts[k] : cuts[k + 1]]]), counts[order[cuts[k] : cuts[k + 1]]]) for k in used]
@@ -162,7 +171,7 @@ def _pair_requests(model: Words, word_buckets: int, buckets: int):
                 words = words.astype(np.uint64)
                 word_id, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
                 to = (mix64(words) % _U(word_buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
+                order = np.lexsort((words, to))
                 cuts = np.searchsorted(to[order], np.arange(word_buckets + 1))
                 for a in answers:
                     place, c = unpacked(a["data"])
@@ -172,7 +181,7 @@ def _pair_requests(model: Words, word_buckets: int, buckets: int):
                 doc = np.repeat(np.arange(len(lens)), lens)
                 c = count[local]
                 base = np.bincount(doc, weights=model.base(c), minlength=len(lens))
-                yield _out(0, None, block, packed(ids, train, lens, np.bincount(doc, weights=c > 0, minlength=len(lens)).astype(np.int64), base))
+                yield _out(0, int(mix64(np.array([block]).astype(np.uint64))[0] % _U(buckets)), block, packed(ids, train, lens, np.bincount(doc, weights=c > 0, minlength=len(lens)).astype(np.int64), base))
                 # contexts: word ids, 0 for the opening mark
                 first = np.cumsum(lens) - lens
                 left = np.concatenate([[0], word_id[local][:-1]])
@@ -195,7 +204,7 @@ def _pair_requests(model: Words, word_buckets: int, buckets: int):
     return run
 
 
-def _out(kind: int, bucket: int | None, block: int, blob: bytes) -> pa.RecordBatch:
+def _out(kind: int, bucket: int, block: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), pa.array([blob], pa.binary())], ["kind", "bucket", "block", "data"])
 
 
@@ -228,8 +237,13 @@ class Pairs:
 
 
 def _pair_table(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's requests in one row, with its count spectrum."""
-    return pd.DataFrame({"bucket": [pdf.bucket.iloc[0]], "blocks": [pdf.block.tolist()], "data": [pdf.data.tolist()], "spectrum": [_spectrum(Pairs(pdf.data.tolist()).count)]})
+    """A bucket's requests in one row, with its count spectrum; base scores pass through."""
+    base, asked = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
+    out = [pd.DataFrame({"kind": 0, "blocks": [[b] for b in base.block], "data": [[d] for d in base.data], "spectrum": None})]
+    if len(asked):
+        blobs = asked.data.tolist()
+        out.append(pd.DataFrame({"kind": [1], "blocks": [asked.block.tolist()], "data": [blobs], "spectrum": [_spectrum(Pairs(blobs).count)]}))
+    return pd.concat(out)
 
 
 def _evaluate(model: Words, d: np.ndarray):
@@ -302,7 +316,7 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     No table is held in one place: bucket numbers follow the corpus, and only the count spectra and the weights of hot words are collected.
     Words not learnt count as one unknown word, after a word not learnt comes its own share.  Null text is the end mark alone.  Without any training text
-    every token is unknown.  Ids must be distinct; an empty table gives no rows; other columns are ignored.
+    every token is unknown.  A repeated row is learnt and scored once per row; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
@@ -319,12 +333,11 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
     sent = blocks.select("block", "data").join(told, "block").mapInArrow(_pair_requests(model, word_buckets, buckets), "kind long, bucket long, block long, data binary")
-    sent = scratch.write(sent, "requests")
-    scratch.drop("blocks", "words")
-    pairs = sent.where("kind = 1").groupBy("bucket").applyInPandas(_pair_table, "bucket long, blocks array<long>, data array<binary>, spectrum array<long>")
+    pairs = sent.groupBy("bucket").applyInPandas(_pair_table, "kind long, blocks array<long>, data array<binary>, spectrum array<long>")
     pairs = scratch.write(pairs, "pairs")
+    scratch.drop("blocks", "words")
     d = discounts([x or 0 for x in pairs.agg(*spectra).first()])
-    done = scratch.write(pairs.select("blocks", "data").mapInArrow(_evaluate(model, d), "block long, data binary"), "done")
+    done = scratch.write(pairs.where("kind = 1").select("blocks", "data").mapInArrow(_evaluate(model, d), "block long, data binary"), "done")
     sums: dict[int, list[float]] = {}
     for r in done.where("block is null").select("data").toLocalIterator():  # fewer than HOT words a bucket
         for left, share, own in zip(*(x.tolist() for x in unpacked(bytes(r.data))), strict=True):
@@ -332,7 +345,8 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
             s[0] -= share
             s[1] -= own
     weights = {k: float(np.log10(max(1e-300, a)) - np.log10(max(1e-300, b))) for k, (a, b) in sums.items()}
-    both = sent.where("kind = 0").select("block", "kind", "data").unionByName(done.where("block is not null").select("block", F.lit(1).cast("long").alias("kind"), "data"))
+    bases = pairs.where("kind = 0").select(F.col("blocks")[0].alias("block"), "kind", F.col("data")[0].alias("data"))
+    both = bases.unionByName(done.where("block is not null").select("block", F.lit(1).cast("long").alias("kind"), "data"))
     schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.groupBy("block").applyInPandas(_finish(weights, model.tokens), schema)
 
