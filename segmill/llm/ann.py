@@ -102,7 +102,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     Ties go to the smaller id.  Null and zero vectors and vectors with a null or non-finite component take no part; nor do
     null ids.  Vectors meet only vectors of the same length.  A query with fewer candidates gets them all, one without none has no
-    row.  Ids must be distinct.  An empty table gives no rows; other columns are ignored.
+    row.  No row is near a query of its own id; a repeated row counts as often as it stands there.  An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession, "ann")
     v = F.col(vector_col).cast("array<double>")

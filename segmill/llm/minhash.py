@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     5. Components are taken over all links and handed back to classes and documents.
 
     A document with fewer words than ``shingle`` has its whole sequence as its one shingle.  Null or wordless text has no shingle, is linked
-    with nothing and stays.  Ids must be distinct.  An empty table gives no rows; other columns are ignored.
+    with nothing and stays.  A row that repeats an id and its text gives one more equal row.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")

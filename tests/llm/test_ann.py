@@ -42,3 +42,9 @@ def test_bounds_hold_and_prune():
     assert (np.abs(true - mid) <= slack + 1e-12).all() and slack.max() < 0.05
     got = tile_nearest(np.arange(40), q, np.arange(100, 3100), x, 5)
     assert {(a, b) for a, b, _ in got} == {(i, 100 + j) for i in range(40) for j in np.argsort(-true[i])[:5].tolist()}
+
+
+def test_repeated_rows(spark):
+    rows = [(10, [1.0, 0.0]), (10, [1.0, 0.0]), (11, [1.0, 1.0]), (11, [1.0, 1.0]), (12, [0.0, 1.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(10, 1, 11), (10, 2, 11)]

@@ -77,3 +77,12 @@ def test_no_rows_or_no_training(spark):
     assert op9(df.where("doc_id < 0")).count() == 0
     got = {r.doc_id: r for r in katz(df, F.lit(False)).collect()}
     assert got[1].n_known == 0 and got[1].train_tokens == 0 and got[1].score <= 0 and got[2].n_tokens == 1
+
+
+def test_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (2, "b")], "doc_id long, text string").repartition(3)
+    got = katz(df, F.lit(True)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 4, 4, 10), (1, 4, 4, 10), (2, 2, 2, 10)]
+    assert len({r.score for r in got if r.doc_id == 1}) == 1

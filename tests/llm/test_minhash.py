@@ -99,3 +99,8 @@ def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 8), (5, 5), (8, 9)] + [(i, i + 1) for i in range(100, 140)] + [(200, j) for j in range(201, 260)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8} | {i: 100 for i in range(100, 141)} | {i: 200 for i in range(200, 260)}
+
+
+def test_repeated_rows(spark):
+    rows = [(4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (9, "a b c d e f g")]
+    assert run(spark, rows, 5) == [(2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False), (9, 3, 9, True)]
