@@ -44,6 +44,11 @@ class Scratch:
             hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have ended, which it does once the driver's JVM collects its garbage."""
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _drop_all() -> None:
     for s in _SCRATCH:

@@ -11,12 +11,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, in_chunks, mix64, whole_text, word_hashes
+from .common import Scratch, crc_mod, in_chunks, mix64, release, whole_text, word_hashes
 
 K = 5  # counts up to K are discounted
 BLOCK_BYTES = 3_000_000  # text of a block: documents whose tokens share a dictionary
 WORDS_PER_BUCKET = 1_500_000  # distinct words of all blocks that meet in a bucket of the word table, about
-TOKENS_PER_BUCKET = 750_000  # tokens whose pairs meet in a bucket of the pair table, about
+TOKENS_PER_BUCKET = 2_500_000  # tokens whose pairs meet in a bucket of the pair table, about
 HOT = 1000  # a word with over 1/HOT of all training tokens is hot: there are fewer than HOT of them
 END, BEGIN = np.uint64(1), np.uint64(2)  # hashes of the marks that close and open a text; words avoid them
 _U = np.uint64
@@ -236,14 +236,45 @@ class Pairs:
         self.parts, self.first = parts, np.cumsum([0, *(len(p[4]) for p in parts)])
 
 
-def _pair_table(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's requests in one row, with its count spectrum; base scores pass through."""
-    base, asked = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-    out = [pd.DataFrame({"kind": 0, "blocks": [[b] for b in base.block], "data": [[d] for d in base.data], "spectrum": None})]
-    if len(asked):
-        blobs = asked.data.tolist()
-        out.append(pd.DataFrame({"kind": [1], "blocks": [asked.block.tolist()], "data": [blobs], "spectrum": [_spectrum(Pairs(blobs).count)]}))
-    return pd.concat(out)
+def _pair_table(model: Words):
+    """Adds up a bucket's pairs over all blocks, and keeps what a block's documents need once the discounts are known.
+
+    Log probabilities of seen pairs are log10(c / (context + 1)) plus log10 of the discount of c, so sums per document and numbers
+    of pairs counted 1 to K are enough.  Unseen pairs wait for their context's backoff weight, which needs the context's
+    shares by count.  Base scores pass through.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        base, asked = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
+        out = [pd.DataFrame({"kind": 0, "blocks": [[b] for b in base.block], "data": [[d] for d in base.data], "spectrum": None})]
+        if len(asked):
+            p = Pairs(asked.data.tolist())
+            seen, known = p.count > 0, p.left_count > 0
+            share = p.count / (p.left_count + 1)
+            own = model.prob(p.right_count)
+            value = np.log10(np.where(seen, share, own))
+            new = np.concatenate([[True], p.left[1:] != p.left[:-1]])
+            at, context = np.flatnonzero(new), np.cumsum(new) - 1
+            by_count = [np.add.reduceat(np.where(p.count == r if r <= K else p.count > K, share, 0.0), at) for r in range(1, K + 2)]
+            sum_own = np.add.reduceat(np.where(seen, own, 0.0), at)
+            waits = ~seen & known
+            used = np.zeros(len(at), bool)
+            used[context[waits]] = True
+            hot = p.left_count[at] * HOT > model.tokens
+            used |= hot & known[at]
+            place = np.cumsum(used) - 1
+            blobs = [packed(p.left[at][used], hot[used], sum_own[used], *(x[used] for x in by_count))]
+            for i, part in enumerate(p.parts):
+                pair = np.repeat(p.of[p.first[i] : p.first[i + 1]], part[7])
+                doc, times = part[8], part[9]
+                docs, row = np.unique(doc, return_inverse=True)
+                few = [np.bincount(row, weights=times * (p.count[pair] == r), minlength=len(docs)).astype(np.int64) for r in range(1, K + 1)]
+                wait = waits[pair]
+                blobs.append(packed(_deltas(docs), np.bincount(row, weights=value[pair] * times), *few, row[wait], place[context[pair[wait]]], times[wait]))
+            out.append(pd.DataFrame({"kind": [1], "blocks": [[0, *asked.block.tolist()]], "data": [blobs], "spectrum": [_spectrum(p.count)]}))
+        return pd.concat(out)
+
+    return run
 
 
 def _evaluate(model: Words, d: np.ndarray):
@@ -255,30 +286,22 @@ def _evaluate(model: Words, d: np.ndarray):
     """
 
     def run(batches):
+        log_d = np.log10(d)
         for b in batches:
             for blocks, data in zip(b.column("blocks").to_pylist(), b.column("data").to_pylist(), strict=True):
-                p = Pairs(data)
-                seen = p.count > 0
-                known = p.left_count > 0
-                share = d[np.minimum(p.count, K + 1)] * p.count / (p.left_count + 1)
-                own = model.prob(p.right_count)
-                new = np.concatenate([[True], p.left[1:] != p.left[:-1]])
-                at, which = np.flatnonzero(new), np.cumsum(new) - 1
-                sum_share = np.add.reduceat(np.where(seen, share, 0.0), at)
-                sum_own = np.add.reduceat(np.where(seen, own, 0.0), at)
-                hot = (p.left_count * HOT > model.tokens) & known
-                weight = np.log10(np.maximum(1e-300, 1 - sum_share)) - np.log10(np.maximum(1e-300, 1 - sum_own))
-                value = np.where(seen, np.log10(np.where(seen, share, 1.0)), np.log10(own) + np.where(known & ~hot, weight[which], 0.0))
-                for i, (block, part) in enumerate(zip(blocks, p.parts, strict=True)):
-                    pair = np.repeat(p.of[p.first[i] : p.first[i + 1]], part[7])
-                    doc, times = part[8], part[9]
-                    docs, place = np.unique(doc, return_inverse=True)
-                    wait = hot[pair] & ~seen[pair]
-                    blob = packed(_deltas(docs), np.bincount(place, weights=value[pair] * times), doc[wait], p.left[pair][wait], times[wait])
-                    yield _done(int(block), blob)
-                k = np.flatnonzero(hot[at])
-                if len(k):
-                    yield _done(None, packed(p.left[at][k], sum_share[k], sum_own[k]))
+                left, hot, own, *shares = unpacked(data[0])
+                hot = hot > 0
+                share = sum(d[r] * shares[r - 1] for r in range(1, K + 2))
+                weight = np.log10(np.maximum(1e-300, 1 - share)) - np.log10(np.maximum(1e-300, 1 - own))
+                for block, blob in zip(blocks[1:], data[1:], strict=True):
+                    docs, value, *few, row, context, times = unpacked(blob)
+                    value = value + sum(n * log_d[r] for r, n in enumerate(few, 1))
+                    now = ~hot[context] if len(context) else np.zeros(0, bool)
+                    np.add.at(value, row[now], weight[context[now]] * times[now])
+                    late = np.cumsum(docs.astype(np.int64))[row[~now]]
+                    yield _done(int(block), packed(docs, value, late, left[context[~now]], times[~now]))
+                if hot.any():
+                    yield _done(None, packed(left[hot], share[hot], own[hot]))
 
     return run
 
@@ -326,6 +349,7 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     word_buckets, buckets = 1 + (n_words or 0) // WORDS_PER_BUCKET, 1 + (n_tokens or 0) // TOKENS_PER_BUCKET
     asked = blocks.select("block", "data").mapInArrow(_word_requests(word_buckets), "bucket long, block long, data binary")
     answers = scratch.write(asked.groupBy("bucket").applyInPandas(_word_table(word_buckets), WORD_TABLE), "words")
+    release(spark)
     spectra = [F.sum(F.col("spectrum")[r]) for r in range(K + 1)]
     row = answers.where("block is null").agg(F.sum("tokens"), F.sum("distinct"), *spectra).first()
     texts = base.where("train = 1").count()
@@ -333,9 +357,10 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
     sent = blocks.select("block", "data").join(told, "block").mapInArrow(_pair_requests(model, word_buckets, buckets), "kind long, bucket long, block long, data binary")
-    pairs = sent.groupBy("bucket").applyInPandas(_pair_table, "kind long, blocks array<long>, data array<binary>, spectrum array<long>")
+    pairs = sent.groupBy("bucket").applyInPandas(_pair_table(model), "kind long, blocks array<long>, data array<binary>, spectrum array<long>")
     pairs = scratch.write(pairs, "pairs")
     scratch.drop("blocks", "words")
+    release(spark)
     d = discounts([x or 0 for x in pairs.agg(*spectra).first()])
     done = scratch.write(pairs.where("kind = 1").select("blocks", "data").mapInArrow(_evaluate(model, d), "block long, data binary"), "done")
     sums: dict[int, list[float]] = {}
