@@ -9,7 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .katz import op9
 from .langid import op10
-from .line_dedup import line_dedup
+from .line_dedup import WIDE_BLOCKS, WIDE_DISTANCE, line_dedup
 from .minhash import near_duplicates
 from .packing import op4
 from .sentencepiece_unigram import op1
@@ -42,7 +42,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup(table(spark, sf_dir, "documents"), distance=WIDE_DISTANCE, blocks=WIDE_BLOCKS)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
