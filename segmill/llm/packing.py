@@ -17,6 +17,7 @@ from .common import Scratch, whole_text
 CAPACITY = 2048
 END_ID = 0
 NEARLY_FULL = 4  # a bin with no more free places than this goes out at once
+GROUP = 16_384  # pieces that a first best fit gets, about
 FAN_IN = 16  # groups that a merge round joins
 CARRY = 4096  # underfull bins that a merged group hands up, at most; fuller ones beyond that go out as they are
 CACHE = 400_000  # chunks whose ids a worker remembers
@@ -135,30 +136,36 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def _local(path: str, capacity: int):
-    """Pieces of a partition's documents, best-fit into bins of the partition."""
+def _sized(path: str, capacity: int):
+    """Pieces of a partition's documents, and a running number, so that rows that repeat an id can be told apart."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
-        cols: list[list] = [[], [], [], [], []]
+        encoder, part, serial = Encoder(path), TaskContext.get().partitionId(), 0
         for b in batches:
+            cols: list[list] = [[], [], [], [], []]
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encoder.encode(text) + END_ID.to_bytes(4, "little")
                 for k, (start, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     for c, v in zip(cols, (i, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])), strict=True):
                         c.append(v)
-        if not cols[0]:
-            return
-        sizes = np.array(cols[3])
+            n = len(cols[0])
+            out = [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(cols)] + [pa.array(np.full(n, part)), pa.array(np.arange(serial, serial + n))]
+            serial += n
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "source", "serial"])
+
+    return run
+
+
+def _first(capacity: int):
+    """Best fit of a group's pieces."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["source", "serial"]).reset_index(drop=True)
+        sizes = pdf.length.to_numpy()
         bins, offsets, fill = split_low(sizes, *best_fit(sizes, capacity), capacity)
-        fills = fill[bins]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "bin", "offset", "fill"]
-        out = [pa.array(c, pa.int64()) for c in cols] + [pa.array(np.full(len(bins), part)), pa.array(bins), pa.array(offsets), pa.array(fills)]
-        whole = pa.RecordBatch.from_arrays(out, names)
-        whole = whole.set_column(1, "piece", whole.column("piece").cast(pa.int32()))
-        yield from (whole.slice(i, 50_000) for i in range(0, whole.num_rows, 50_000))
+        return pdf.drop(columns=["source", "serial"]).assign(bin=bins, offset=offsets, fill=fill[bins])
 
     return run
 
@@ -185,11 +192,12 @@ def _merge(capacity: int, last: bool):
 MERGED = "part long, bin long, to_part long, to_bin long, shift long, fill long, up boolean"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", group_size: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids (``tokenizer``: a file of the tokenizers library) and a closing id 0.  Documents longer than ``capacity`` are cut
-    into full pieces, of which the first may be shorter.  Each partition packs its pieces by best fit, longest first; bins with
+    into full pieces, of which the first may be shorter.  The pieces' sizes are dealt by hash to groups of about GROUP, so each group has the whole table's lengths,
+    in whatever order the files hold them.  A group packs its pieces by best fit, longest first; bins with
     at most NEARLY_FULL free places are done.  The others become items of their own (those not half full are taken apart again): rounds of best fit merge them over FAN_IN groups at
     a time, up a tree, until one group is left.  A group hands up at most CARRY bins, the emptiest; the rest stay as they are, so
     the last task is bounded and no piece is ever left out.  Only sizes move between tasks, not ids.
@@ -200,9 +208,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, fill long"
-    pieces = scratch.write(whole_text(docs, id_col, text_col).mapInArrow(_local(tokenizer, capacity), schema), "pieces")
+    sized = whole_text(docs, id_col, text_col).mapInArrow(_sized(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, source long, serial long")
+    sized = scratch.write(sized, "sized")
+    groups = max(1, -(-sized.count() // group_size))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "source", "serial"), F.lit(groups)))
+    pieces = scratch.write(dealt.groupBy("part").applyInPandas(_first(capacity), schema), "pieces")
     under = pieces.where(F.col("fill") < capacity - NEARLY_FULL).select("part", "bin", "fill").distinct()
-    groups = (pieces.agg(F.max("part")).first()[0] or 0) + 1
+    scratch.drop("sized")
     base, maps = groups, []
     width = groups
     while True:

@@ -84,3 +84,14 @@ def test_best_fit_is_a_packing(sizes):
 def test_pieces():
     assert pieces_of(1, 4) == [(0, 1)] and pieces_of(4, 4) == [(0, 4)]
     assert pieces_of(5, 4) == [(0, 1), (1, 4)] and pieces_of(8, 4) == [(0, 4), (4, 4)]
+
+
+def test_a_table_sorted_by_length_packs_as_well(spark):
+    rnd = random.Random(4)
+    rows = sorted(((i, " ".join(["word"] * rnd.choice([300, rnd.randint(20, 210)]))) for i in range(1200)), key=lambda r: len(r[1]))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, text string")
+    for more in ({}, {"group_size": 100}):
+        out = pack(df, PATH, capacity=512, **more).collect()
+        assert len(out) == len(rows)
+        at_once = len(best_fit(np.array([r.length for r in out]), 512)[2])
+        assert len({r.sequence_id for r in out}) <= 1.03 * at_once + 1
