@@ -19,7 +19,8 @@ NOISE_SHARED = 50_000  # noise nodes that are handed to all tasks at once; more
 
 # Fixed values of HTML: elements without content, elements whose content is not text of the page, elements that break a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|textarea|title|iframe|object|svg|math|select|button|canvas|video|audio"
+RAW = "script|style|template|noscript|textarea|title|iframe"
+SKIP = frozenset("object svg math select button canvas video audio".split())  # ordinary elements whose subtree is not text of the page
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -36,6 +37,8 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+_SKIP_END = re.compile(rf"</({'|'.join(sorted(SKIP))})\b", re.I)
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]+/$")  # the slash belongs to the value
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -49,8 +52,10 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, str]]:
     """The page's blocks in order: path, whether an ancestor is noise by its kind, inline presentation, text.
 
     A path names the block-level ancestors with their classes.  Start tags close what HTML says they close; an end tag
-    closes up to its match, or nothing; an article or main element ends an unclosed branch of noise.
+    closes up to its match, or nothing; an article or main element ends an unclosed branch of noise.  The subtree of a
+    SKIP element is left out without breaking the block around it; one that is never closed is only a tag.
     """
+    last_end: dict[str, int] | None = None
     out: list[tuple[str, bool, str, str]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, path so far, noise
     parts: list[str] = []
@@ -60,7 +65,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, str]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path, noise = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+                path, noise = next(((s[1], s[2]) for s in reversed(stack) if s[0] not in SKIP), ("", False))
                 out.append((path, noise, ",".join(inline), text))
             parts.clear()
         inline.clear()
@@ -76,14 +81,28 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, str]]:
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        skipping = any(s[0] in SKIP for s in stack)
+        if m.start() > at and not skipping:
             parts.append(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in SKIP:
+            own = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if own is not None and (m["end"] or tag in ("button", "select")):  # these two do not nest: a start tag closes the open one
+                del stack[own:]
+            if m["end"] or tag in ("svg", "math") and m["attrs"].endswith("/") and not _UNQUOTED_SLASH.search(m["attrs"]):
+                continue
+            if last_end is None:
+                last_end = {e[1].lower(): e.start() for e in _SKIP_END.finditer(page)}
+            if last_end.get(tag, -1) >= at:
+                stack.append((tag, stack[-1][1] if stack else "", True))
+            continue
         if tag not in BLOCK:
+            if skipping:
+                continue
             if tag == "br":
                 parts.append(" ")
             elif not m["end"]:
@@ -99,7 +118,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, str]]:
                 del stack[pop:]
         elif tag in CLOSES:
             pop_to(CLOSES[tag], SCOPES - set(CLOSES[tag]))
-        pop_to(("p",), SCOPES)
+        pop_to(("p",), SCOPES | SKIP)
         if tag in VOID:
             continue
         path, noise = (stack[-1][1], stack[-1][2]) if stack else ("", False)
@@ -114,7 +133,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, str]]:
                 if key == "class":
                     name += "." + ".".join(sorted(set(value.split())))
         stack.append((tag, f"{path}/{name}", noise))
-    if at < len(page):
+    if at < len(page) and not any(s[0] in SKIP for s in stack):
         parts.append(page[at:])
     flush()
     return out

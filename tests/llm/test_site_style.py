@@ -48,3 +48,11 @@ def test_templates_without_meaningful_tags_are_found_by_entropy(spark):
         assert all(got[r[0]].text == f"Welcome to our site {r[4]} All rights {i % 2}" for i, r in enumerate(small))  # too few pages to tell
         assert [got[i].text for i in (5000, 5001, 5002)] == ["alone", "", ""] and got[5003].text == " ".join(["long text"] * 20_000)
     assert main_text(df.where("page_id < 0")).count() == 0
+
+
+def test_elements_that_are_not_raw_text_do_not_cut_the_page():
+    assert kept("<article><p>a<svg class='i'/>b</p><p>c</p>") == "ab c"
+    assert kept("<article><p>a<svg class='i'><title>t</title><g><text>no</text></g></svg>b</p><p>c<math><mi>x</mi></math>d") == "ab cd"
+    assert kept("<article><p>a<button>b</p><p>c</p></article>") == "ab c"
+    assert kept("<article><p>a<button>no<p>no</p></button>b</p><p>c<select><option>no</select>d</p><div>e<button>no</div><p>f<button>no</button>g") == "a b cd e fg"
+    assert kept("<article><p>a<svg><svg/><svg>no</svg>no</svg>b<p>c<video>no<p>no</video>d<canvas>e<p>f") == "ab c de f"
