@@ -13,7 +13,7 @@ from .line_dedup import WIDE_BLOCKS, WIDE_DISTANCE, line_dedup
 from .minhash import near_duplicates
 from .packing import op4
 from .sentencepiece_unigram import op1
-from .site_style import main_text
+from .site_style import PRIOR, main_text
 from .toxicity import op3
 
 
@@ -38,7 +38,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(table(spark, sf_dir, "pages"), prior=PRIOR)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from .common import Scratch
 GAMMA = 0.9  # weight of a node's content against its presentation
 LOW = 0.5  # nodes of less importance are noise
 SITE_PAGES, WEB_PAGES = 20, 200  # different pages that a node must stand in before its entropy means something
+PRIOR = 1.0  # pages that the prior importance counts for where hosts of few pages are judged too
 NOISE_SHARED = 50_000  # noise nodes that are handed to all tasks at once; more are joined instead
 
 # Fixed values of HTML: elements without content, elements whose content is not text of the page, elements that break a block.
@@ -194,14 +195,16 @@ def importance(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.col("content_pages").alias("pages"), (GAMMA * F.col("content") + (1 - GAMMA) * F.col("style")).alias("importance"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, shared_limit: int = NOISE_SHARED) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, shared_limit: int = NOISE_SHARED, prior: float = 0.0) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Each page's blocks are leaves of its host's style tree, merged over all the host's different pages (identical
     pages count once) by their path of block elements and classes.  A leaf's importance is the normalised entropy of its
     contents and presentations over these pages; below ``low`` it is template and is removed from every page, and with all
     its leaves a branch goes.  Hosts with fewer than SITE_PAGES pages of a node borrow the tree of all hosts together, if
-    WEB_PAGES pages have it there; else the node stays.  Elements that HTML or their class names mark as navigation, header, footer, sidebar,
+    WEB_PAGES pages have it there; else the node stays.  With a ``prior`` there is no such switch: a node of n pages
+    has the mean of its importance, counted n - 1 times, and of the prior one, counted ``prior`` times, which is that of all
+    hosts' tree if WEB_PAGES pages have the node there, else 1.  Elements that HTML or their class names mark as navigation, header, footer, sidebar,
     notice, advert, form or comments have importance 0, and articles' own paragraphs and headings 1, whatever the entropy.
 
     White space inside a block becomes one space, blocks are joined by one space, references are decoded.  Null or empty
@@ -215,6 +218,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     site = importance(nodes, ["host", "path"])
     web = importance(nodes, ["path"]).select("path", F.col("pages").alias("web_pages"), F.col("importance").alias("web"))
     value = F.when(F.col("pages") >= SITE_PAGES, F.col("importance")).when(F.col("web_pages") >= WEB_PAGES, F.col("web"))
+    if prior:
+        known = F.when(F.col("web_pages") >= WEB_PAGES, F.col("web")).otherwise(1.0)
+        value = (F.col("importance") * (F.col("pages") - 1) + known * prior) / (F.col("pages") - 1 + prior)
     noise = scratch.write(site.join(web, "path").where(value < low).select("host", "path"), "noise")
     schema = "page_id long, url string, text string, n_chars long"
     if noise.count() <= shared_limit:

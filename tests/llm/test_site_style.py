@@ -1,5 +1,6 @@
 import random
 
+from segmill.llm.queries import op8_html_text
 from segmill.llm.site_style import blocks_of, host_of, main_text
 
 
@@ -56,3 +57,11 @@ def test_elements_that_are_not_raw_text_do_not_cut_the_page():
     assert kept("<article><p>a<button>b</p><p>c</p></article>") == "ab c"
     assert kept("<article><p>a<button>no<p>no</p></button>b</p><p>c<select><option>no</select>d</p><div>e<button>no</div><p>f<button>no</button>g") == "a b cd e fg"
     assert kept("<article><p>a<svg><svg/><svg>no</svg>no</svg>b<p>c<video>no<p>no</video>d<canvas>e<p>f") == "ab c de f"
+
+
+def test_template_of_a_small_host_goes(spark, tmp_path):
+    rows = site(4, "two.example", random.Random(3)) + [(10 + i, *r[1:]) for i, r in enumerate(site(1, "one.example", random.Random(4)))]
+    spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.text for r in op8_html_text(spark, str(tmp_path)).collect()}
+    assert all(r[4] in got[r[0]] and "Welcome" not in got[r[0]] for r in rows[:4])
+    assert got[10] == f"Welcome to our site {rows[4][4]} All rights 0"  # one page tells nothing
