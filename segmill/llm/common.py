@@ -3,14 +3,56 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[Scratch] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "4m"  # of an Arrow batch, about; a longer row comes alone
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches of a session that has no bound of its own (Spark's is 64 MB), so that workers hold little at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system: workers are kept for later tasks, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function that ends each task with little memory."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
+def trimmed_group(run: Callable) -> Callable:
+    """A pandas function of one group that ends with little memory."""
+
+    def wrapped(pdf):
+        out = run(pdf)
+        _trim()
+        return out
+
+    return wrapped
 
 
 class Scratch:
@@ -30,11 +72,17 @@ class Scratch:
             root = tempfile.mkdtemp(prefix="segmill-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        bounded_batches(spark)
         _SCRATCH.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Writes and rereads a table.  The shuffle files of its plan go as soon as it is written: nothing reads them again."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -44,11 +92,6 @@ class Scratch:
             hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that have ended, which it does once the driver's JVM collects its garbage."""
-    spark._jvm.System.gc()
-
-
 @atexit.register
 def _drop_all() -> None:
     for s in _SCRATCH:

@@ -1,4 +1,4 @@
-"""Katz backoff bigrams: Good-Turing discounts, exactly normalised backoff weights, counts in partitioned tables."""
+"""Katz backoff n-grams: Good-Turing discounts, exactly normalised backoff weights, counts in partitioned tables, evaluated token by token."""
 
 from __future__ import annotations
 
@@ -11,26 +11,28 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, in_chunks, mix64, release, whole_text, word_hashes
+from .common import Scratch, crc_mod, in_chunks, mix64, trimmed, trimmed_group, whole_text, word_hashes
 
+ORDER = 3  # words of the longest n-gram
 K = 5  # counts up to K are discounted
-BLOCK_BYTES = 3_000_000  # text of a block: documents whose tokens share a dictionary
-WORDS_PER_BUCKET = 1_500_000  # distinct words of all blocks that meet in a bucket of the word table, about
-TOKENS_PER_BUCKET = 2_500_000  # tokens whose pairs meet in a bucket of the pair table, about
-HOT = 1000  # a word with over 1/HOT of all training tokens is hot: there are fewer than HOT of them
-END, BEGIN = np.uint64(1), np.uint64(2)  # hashes of the marks that close and open a text; words avoid them
+BLOCK_BYTES = 4_000_000  # text of a block: documents whose tokens share a dictionary
+ASKED_PER_BUCKET = 1_000_000  # n-grams, distinct in their block, that meet in a bucket of a table, about
+HOT = 1000  # a context with over 1/HOT of all training tokens is hot: there are fewer than HOT of each length
+END = np.uint64(1)  # hash of the mark that closes a text; words avoid it
 _U = np.uint64
+_C = mix64(np.arange(1, 65, dtype=np.uint64))
 
 
 # ---- packed arrays ----------------------------------------------------------------------------------------------
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of non-negative integers or floats, each in the narrowest type that holds it, compressed."""
+    """Arrays of integers (negative ones by their bits) or floats, each in the narrowest type that holds it, compressed."""
     head, body = [], []
     for a in arrays:
         a = np.asarray(a)
         if a.dtype.kind != "f":
+            a = a.view(np.uint64) if a.dtype == np.int64 and len(a) and a.min() < 0 else a
             a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
         head.append([a.dtype.str, len(a)])
         body.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())  # byte planes compress better
@@ -39,13 +41,14 @@ def packed(*arrays: np.ndarray) -> bytes:
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
+    """The arrays, integers as signed 64-bit ones (hashes keep their bits)."""
     n = int.from_bytes(blob[:4], "little")
     data, at, out = zstandard.ZstdDecompressor().decompress(blob[4 + n :]), 0, []
     for kind, size in json.loads(blob[4 : 4 + n]):
         width = np.dtype(kind).itemsize
         a = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T).view(kind).ravel()
         at += size * width
-        out.append(a if a.dtype.kind == "f" else a.astype(np.uint64 if a.dtype.itemsize == 8 else np.int64))
+        out.append(a if a.dtype.kind == "f" else a.astype(np.int64))
     return out
 
 
@@ -56,75 +59,123 @@ def _deltas(x: np.ndarray) -> np.ndarray:
 # ---- blocks of documents ----------------------------------------------------------------------------------------
 
 
-def _blocks(batches):
+def _blocks(limit: int):
     """One row per block: its documents' ids and training flags, its words' hashes (most frequent first), and its tokens as places among them."""
-    from pyspark import TaskContext
-
-    block = TaskContext.get().partitionId() << 32
-    for whole in batches:
-        for b in in_chunks(whole, "text", BLOCK_BYTES):
-            h, n = word_hashes(b.column("text").cast("binary").to_pylist())
-            h = np.where(h < 8, h + _U(8), h)
-            tokens = np.insert(h, np.cumsum(n), END)
-            words, local, times = np.unique(tokens, return_inverse=True, return_counts=True)
-            often = np.argsort(-times, kind="stable")  # frequent words get small numbers, which take little room
-            place = np.empty(len(often), np.int64)
-            place[often] = np.arange(len(often))
-            words, local = words[often], place[local]
-            ids = np.array(b.column("doc_id").to_pylist(), np.int64)
-            train = np.array(b.column("train").to_pylist(), np.uint8)
-            blob = packed(ids.view(np.uint64), train, n + 1, words, local)
-            block += 1
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(words)]), pa.array([len(tokens)]), pa.array([blob], pa.binary())], ["block", "words", "tokens", "data"])
-
-
-def _counted(words: np.ndarray, local: np.ndarray, lens: np.ndarray, train: np.ndarray) -> np.ndarray:
-    return np.bincount(local[np.repeat(train, lens) > 0], minlength=len(words))
 
+    def row(number: int, parts: list) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(parts).combine_chunks()
+        h, n = word_hashes(batch.column("text").cast(pa.large_binary()).to_pylist())
+        h = np.where(h < 8, h + _U(8), h)
+        tokens = np.insert(h, np.cumsum(n), END)
+        words, local, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        often = np.argsort(-times, kind="stable")  # frequent words get small numbers, which take little room
+        place = np.empty(len(often), np.int64)
+        place[often] = np.arange(len(often))
+        ids, train = batch.column("doc_id"), batch.column("train").to_numpy().astype(np.uint8)
+        named = ids.is_valid().to_numpy().astype(np.uint8)
+        blob = packed(ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64), named, train, n + 1, words[often], place[local])
+        cols = [number, len(words), len(tokens), int(train.sum())]
+        return pa.RecordBatch.from_arrays([*(pa.array([c], pa.int64()) for c in cols), pa.array([blob], pa.binary())], ["block", "words", "tokens", "texts", "data"])
 
-def _word_requests(buckets: int):
     def run(batches):
-        for b in batches:
-            for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
-                _, train, lens, words, local = unpacked(data)
-                words = words.astype(np.uint64)
-                counts = _counted(words, local, lens, train)
-                to = (mix64(words) % _U(buckets)).astype(np.int64)
-                order = np.lexsort((words, to))
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                blobs = [packed(_deltas(words[order[cuts[k] : cuts[k + 1]]]), counts[order[cuts[k] : cuts[k + 1]]]) for k in used]
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array([block] * len(used), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "data"])
+        from pyspark import TaskContext
 
-    return run
+        number, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+        for whole in batches:
+            for b in in_chunks(whole, "text", limit):
+                if waiting and size + b.nbytes > limit:
+                    yield row(number, waiting)
+                    number, waiting, size = number + 1, [], 0
+                waiting.append(b)
+                size += b.nbytes
+        if waiting:
+            yield row(number, waiting)
 
+    return trimmed(run)
 
-def _spectrum(counts: np.ndarray) -> list[int]:
-    """How many things were counted 1, 2, ... K + 1 times."""
-    return np.bincount(np.minimum(counts, K + 2).astype(np.int64), minlength=K + 3)[1 : K + 2].tolist()
 
+class Block:
+    """A block's documents and tokens, and what it has been told of its words and longer n-grams so far.
 
-def _word_table(buckets: int):
-    """Adds up a bucket's words over all blocks and answers each block: an id and the training count of each word it asked for."""
+    ``grams[k]`` are the distinct (k+1)-grams as places of context and last word, ``at[k]`` is each token's, ``count[k]`` their
+    training counts, ``back[k]`` the log10 backoff weights of their contexts where some token needs it.
+    The context of a text's first token is the opening one, whose place is after all others.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [unpacked(x) for x in pdf.data]
-        hashes = [np.cumsum(d.astype(np.uint64), dtype=np.uint64) for d, _ in asked]
-        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate([c for _, c in asked])).astype(np.int64)
-        bucket, at, out = int(pdf.bucket.iloc[0]), 0, []
-        for h in hashes:
-            mine = place[at : at + len(h)]
-            at += len(h)
-            out.append(packed(_deltas(mine), counts[mine]))
-        rows = pd.DataFrame({"bucket": pdf.bucket, "block": pdf.block, "data": out, "tokens": 0, "distinct": 0, "spectrum": None})
-        total = pd.DataFrame({"bucket": [bucket], "block": [None], "data": [None], "tokens": [int(counts.sum())], "distinct": [int((counts > 0).sum())], "spectrum": [_spectrum(counts)]})
-        return pd.concat([rows, total])
+    def __init__(self, data: bytes, order: int):
+        ids, named, train, self.lens, words, self.local, *told = unpacked(data)
+        self.ids, self.named, self.train, self.words = ids.astype(np.uint64).view(np.int64), named > 0, train > 0, words.astype(np.uint64)
+        self.first = np.cumsum(self.lens) - self.lens
+        self.learnt = np.repeat(self.train, self.lens)
+        width = len(self.words)
+        self.grams, self.at, self.told = [(np.zeros(width, np.int64), np.arange(width))], [self.local], told
+        for k in range(1, order):
+            context = self.context(k)
+            keys, inverse = np.unique(context * width + self.local, return_inverse=True)
+            self.grams.append((keys // width, keys % width))
+            self.at.append(inverse)
+        if told:  # global ids of the words, then counts; for longer n-grams counts and weights
+            self.word_id, self.count, self.back = told[0], [told[1], *told[2::2]], [np.zeros(0), *told[3::2]]
+
+    def context(self, k: int) -> np.ndarray:
+        """Place of each token's context of ``k`` words among the block's k-grams."""
+        at = np.concatenate([[0], self.at[k - 1][:-1]])
+        at[self.first] = len(self.grams[k - 1][0])
+        return at
+
+    def ids_of(self, k: int) -> list[np.ndarray]:
+        """Global word ids of the k-grams, one array per position, the opening context's zeros last."""
+        if k == 1:
+            return [np.append(self.word_id, 0)]
+        context, last = self.grams[k - 1]
+        return [np.append(x[context], 0) for x in self.ids_of(k - 1)] + [np.append(self.word_id[last], 0)]
+
+    def totals(self, k: int, model: Model) -> np.ndarray:
+        """Training counts of the k-grams as contexts; the opening one's is the number of training texts."""
+        return np.append(self.count[k - 1], model.texts)
+
+    def own(self, k: int) -> np.ndarray:
+        return np.bincount(self.at[k][self.learnt], minlength=len(self.grams[k][0]))
+
+    def log_probs(self, k: int, model: Model) -> np.ndarray:
+        """log10 probability of every token by n-grams of k + 1 words: discounted if seen, else backed off, recursively."""
+        if k == 0:
+            return np.log10(model.word_prob(self.count[0]))[self.local]
+        shorter, context = self.log_probs(k - 1, model), self.context(k)
+        c, total = self.count[k][self.at[k]], self.totals(k, model)[context]
+        seen = model.share(k, c, total)
+        return np.where(c > 0, np.log10(np.where(c > 0, seen, 1)), np.where(total > 0, self.back[k][context] + shorter, shorter))
+
+
+class Model:
+    """Discounts of each order, and the unigram level: discounted shares of the known words; what is left goes to one unknown word."""
+
+    def __init__(self, tokens: int, distinct: int, texts: int, spectrum: list[int]):
+        self.tokens, self.distinct, self.texts, self.d = tokens, distinct, texts, [discounts(spectrum)]
+        gone = sum((1 - self.d[0][r]) * r * spectrum[r - 1] for r in range(1, K + 1))
+        self.unknown = (gone + 0.5) / (tokens + 0.5)  # half a count more, so that it is never nothing
+
+    def share(self, k: int, c: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Discounted share of seen n-grams of k + 1 words; one count more for each context keeps some weight to hand down."""
+        return self.d[k][np.minimum(c, K + 1)] * c / (total + (1 if k else 0.5))
 
-    return run
+    def word_prob(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.share(0, c, self.tokens), self.unknown)
 
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
-WORD_TABLE = "bucket long, block long, data binary, tokens long, distinct long, spectrum array<long>"
+    def is_hot(self, total: np.ndarray) -> np.ndarray:
+        return total * HOT > self.tokens
+
+    def weight(self, k: int, total, kinds, below):
+        """log10 backoff weight of contexts: what seen n-grams leave, over what the shorter model leaves beside them.
+
+        ``kinds``: how many n-grams of the context were counted 1 to K times; their counts add up to ``total``.
+        """
+        small = np.arange(1, K + 1)[:, None]
+        kept = (self.d[k][1 : K + 1, None] * small * kinds).sum(axis=0) + total - (small * kinds).sum(axis=0)
+        return np.log10(np.maximum(1e-300, 1 - kept / (total + 1))) - np.log10(np.maximum(1e-300, 1 - below))
 
 
 def discounts(spectrum: list[int]) -> np.ndarray:
@@ -141,239 +192,282 @@ def discounts(spectrum: list[int]) -> np.ndarray:
     return d
 
 
-class Words:
-    """The unigram level: discounted shares of the known words; what is left goes to one unknown word."""
+def _spectrum(counts: np.ndarray) -> list[int]:
+    """How many things were counted 1, 2, ... K + 1 times."""
+    return np.bincount(np.minimum(counts, K + 2).astype(np.int64), minlength=K + 3)[1 : K + 2].tolist()
 
-    def __init__(self, tokens: int, distinct: int, spectrum: list[int], texts: int):
-        self.tokens, self.distinct, self.texts = tokens, distinct, texts
-        self.d = discounts(spectrum)
-        gone = sum((1 - self.d[r]) * r * spectrum[r - 1] for r in range(1, K + 1))
-        self.unknown = (gone + 0.5) / (tokens + 0.5)  # half a count more, so that it is never nothing
 
-    def prob(self, c: np.ndarray) -> np.ndarray:
-        known = self.d[np.minimum(c, K + 1).astype(np.int64)] * c / (self.tokens + 0.5)
-        return np.where(c > 0, known, self.unknown)
+# ---- tables -----------------------------------------------------------------------------------------------------
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
+ASKED = "bucket long, block long, data binary"
+TABLE = "bucket long, block long, data binary, key array<long>, sums array<double>, tokens long, distinct long, spectrum array<long>"
 
 
-# ---- pairs ------------------------------------------------------------------------------------------------------
+def _answers(bucket: int, blocks, blobs: list[bytes], counts: np.ndarray, keys: list | None = None, sums: list | None = None) -> pd.DataFrame:
+    """Rows of a bucket: an answer to each block, partial sums of hot contexts, and the bucket's totals."""
+    n, m = len(blobs), len(keys or ())
+    columns = {
+        "block": [*map(int, blocks), *[None] * (m + 1)], "data": [*blobs, *[None] * (m + 1)], "key": [*[None] * n, *(keys or ()), None], "sums": [*[None] * n, *(sums or ()), None],
+        "tokens": [*[None] * (n + m), int(counts.sum())], "distinct": [*[None] * (n + m), int((counts > 0).sum())], "spectrum": [*[None] * (n + m), _spectrum(counts)],
+    }
+    return pd.DataFrame({"bucket": bucket} | {c: pd.Series(v, dtype="Int64" if c in ("block", "tokens", "distinct") else object) for c, v in columns.items()})
 
 
-def _pair_requests(model: Words, word_buckets: int, buckets: int):
-    """Per block: the documents' base scores (kind 0), and its pairs for each bucket of the pair table (kind 1)."""
+def _dealt(to: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by bucket, each bucket's own order kept, and the limits of the buckets."""
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(buckets + 1))
 
-    def run(batches):
-        for b in batches:
-            for block, data, answers in zip(*(b.column(c).to_pylist() for c in ("block", "data", "answers")), strict=True):
-                ids, train, lens, words, local = unpacked(data)
-                words = words.astype(np.uint64)
-                word_id, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-                to = (mix64(words) % _U(word_buckets)).astype(np.int64)
-                order = np.lexsort((words, to))
-                cuts = np.searchsorted(to[order], np.arange(word_buckets + 1))
-                for a in answers:
-                    place, c = unpacked(a["data"])
-                    mine = order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]
-                    word_id[mine] = np.cumsum(place.astype(np.int64)) * word_buckets + a["bucket"] + 1
-                    count[mine] = c
-                doc = np.repeat(np.arange(len(lens)), lens)
-                c = count[local]
-                base = np.bincount(doc, weights=model.base(c), minlength=len(lens))
-                yield _out(0, int(mix64(np.array([block]).astype(np.uint64))[0] % _U(buckets)), block, packed(ids, train, lens, np.bincount(doc, weights=c > 0, minlength=len(lens)).astype(np.int64), base))
-                # contexts: word ids, 0 for the opening mark
-                first = np.cumsum(lens) - lens
-                left = np.concatenate([[0], word_id[local][:-1]])
-                left_count = np.concatenate([[0], c[:-1]])
-                left[first], left_count[first] = 0, model.texts
-                right = word_id[local]
-                hot = left_count * HOT > model.tokens
-                to = (mix64(np.where(hot, left * 0x1000003 + right, left).astype(np.uint64)) % _U(buckets)).astype(np.int64)
-                order = np.lexsort((doc, right, left, to))
-                columns = [x[order] for x in (to, left, right, doc, left_count, c)]
-                new = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns[:4]], axis=0)])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(order)))
-                to, left, right, doc, lc, rc = (x[at] for x in columns)
-                cuts = np.searchsorted(to, np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(cuts)):
-                    s = slice(cuts[k], cuts[k + 1])
-                    yield _out(1, int(k), block, _pair_blob(left[s], right[s], doc[s], times[s], lc[s], rc[s], train))
-
-    return run
-
-
-def _out(kind: int, bucket: int, block: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int64()), pa.array([block], pa.int64()), pa.array([blob], pa.binary())], ["kind", "bucket", "block", "data"])
-
-
-def _pair_blob(left, right, doc, times, lc, rc, train) -> bytes:
-    lefts, l_at, l_idx = np.unique(left, return_index=True, return_inverse=True)
-    rights, r_at, r_idx = np.unique(right, return_index=True, return_inverse=True)
-    new = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
-    run = np.diff(np.append(new, len(left)))
-    learnt = np.add.reduceat(times * (train[doc] > 0), new)
-    return packed(_deltas(lefts), lc[l_at], _deltas(rights), rc[r_at], l_idx[new], r_idx[new], learnt, run, doc, times)
-
-
-class Pairs:
-    """The pairs of one bucket, of all blocks: contexts, words, training counts, and where each block's entries are."""
-
-    def __init__(self, blobs: list[bytes]):
-        parts = [unpacked(x) for x in blobs]
-        left = np.concatenate([np.cumsum(p[0].astype(np.int64))[p[4]] for p in parts])
-        right = np.concatenate([np.cumsum(p[2].astype(np.int64))[p[5]] for p in parts])
-        left_count = np.concatenate([p[1][p[4]] for p in parts])
-        right_count = np.concatenate([p[3][p[5]] for p in parts])
-        order = np.lexsort((right, left))
-        new = np.concatenate([[True], (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])])
-        at = order[new]
-        self.of = np.empty(len(order), np.int64)  # each block's pair -> pair of the bucket
-        self.of[order] = np.cumsum(new) - 1
-        self.left, self.right, self.left_count, self.right_count = left[at], right[at], left_count[at], right_count[at]
-        self.count = np.bincount(self.of, weights=np.concatenate([p[6] for p in parts])).astype(np.int64)
-        self.parts, self.first = parts, np.cumsum([0, *(len(p[4]) for p in parts)])
-
-
-def _pair_table(model: Words):
-    """Adds up a bucket's pairs over all blocks, and keeps what a block's documents need once the discounts are known.
-
-    Log probabilities of seen pairs are log10(c / (context + 1)) plus log10 of the discount of c, so sums per document and numbers
-    of pairs counted 1 to K are enough.  Unseen pairs wait for their context's backoff weight, which needs the context's
-    shares by count.  Base scores pass through.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, asked = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-        out = [pd.DataFrame({"kind": 0, "blocks": [[b] for b in base.block], "data": [[d] for d in base.data], "spectrum": None})]
-        if len(asked):
-            p = Pairs(asked.data.tolist())
-            seen, known = p.count > 0, p.left_count > 0
-            share = p.count / (p.left_count + 1)
-            own = model.prob(p.right_count)
-            value = np.log10(np.where(seen, share, own))
-            new = np.concatenate([[True], p.left[1:] != p.left[:-1]])
-            at, context = np.flatnonzero(new), np.cumsum(new) - 1
-            by_count = [np.add.reduceat(np.where(p.count == r if r <= K else p.count > K, share, 0.0), at) for r in range(1, K + 2)]
-            sum_own = np.add.reduceat(np.where(seen, own, 0.0), at)
-            waits = ~seen & known
-            used = np.zeros(len(at), bool)
-            used[context[waits]] = True
-            hot = p.left_count[at] * HOT > model.tokens
-            used |= hot & known[at]
-            place = np.cumsum(used) - 1
-            blobs = [packed(p.left[at][used], hot[used], sum_own[used], *(x[used] for x in by_count))]
-            for i, part in enumerate(p.parts):
-                pair = np.repeat(p.of[p.first[i] : p.first[i + 1]], part[7])
-                doc, times = part[8], part[9]
-                docs, row = np.unique(doc, return_inverse=True)
-                few = [np.bincount(row, weights=times * (p.count[pair] == r), minlength=len(docs)).astype(np.int64) for r in range(1, K + 1)]
-                wait = waits[pair]
-                blobs.append(packed(_deltas(docs), np.bincount(row, weights=value[pair] * times), *few, row[wait], place[context[pair[wait]]], times[wait]))
-            out.append(pd.DataFrame({"kind": [1], "blocks": [[0, *asked.block.tolist()]], "data": [blobs], "spectrum": [_spectrum(p.count)]}))
-        return pd.concat(out)
-
-    return run
-
-
-def _evaluate(model: Words, d: np.ndarray):
-    """Log probabilities of a bucket's pairs, added up by document.
-
-    Seen pairs have discounted counts over their context's count plus one (the one more keeps some weight to hand down even
-    where no count is small); unseen ones have the context's backoff weight times the word's own share, and so on down.
-    The weights of contexts that are spread over several buckets come later: their sums go out as rows without a block.
-    """
+def _word_buckets(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    to = (mix64(words) % _U(buckets)).astype(np.int64)
+    order = np.lexsort((words, to))
+    return order, np.searchsorted(to[order], np.arange(buckets + 1))
+
+
+def _gram_buckets(block: Block, k: int, model: Model, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's n-grams of k + 1 words by bucket: dealt by context, those of hot contexts by context and word."""
+    context, last = block.grams[k]
+    key = np.zeros(len(block.grams[k - 1][0]) + 1, np.uint64)
+    for c, ids in zip(_C, block.ids_of(k), strict=False):
+        key += ids.astype(np.uint64) * c
+    hot = model.is_hot(block.totals(k, model))
+    key = key[context] + np.where(hot[context], block.word_id[last].astype(np.uint64) * _C[40], _U(0))
+    return _dealt((mix64(key) % _U(buckets)).astype(np.int64), buckets)
+
 
+def _asking(order: int, requests):
     def run(batches):
-        log_d = np.log10(d)
         for b in batches:
-            for blocks, data in zip(b.column("blocks").to_pylist(), b.column("data").to_pylist(), strict=True):
-                left, hot, own, *shares = unpacked(data[0])
-                hot = hot > 0
-                share = sum(d[r] * shares[r - 1] for r in range(1, K + 2))
-                weight = np.log10(np.maximum(1e-300, 1 - share)) - np.log10(np.maximum(1e-300, 1 - own))
-                for block, blob in zip(blocks[1:], data[1:], strict=True):
-                    docs, value, *few, row, context, times = unpacked(blob)
-                    value = value + sum(n * log_d[r] for r, n in enumerate(few, 1))
-                    now = ~hot[context] if len(context) else np.zeros(0, bool)
-                    np.add.at(value, row[now], weight[context[now]] * times[now])
-                    late = np.cumsum(docs.astype(np.int64))[row[~now]]
-                    yield _done(int(block), packed(docs, value, late, left[context[~now]], times[~now]))
-                if hot.any():
-                    yield _done(None, packed(left[hot], share[hot], own[hot]))
+            for number, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
+                for bucket, blob in requests(Block(data, order)):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "block", "data"])
 
-    return run
+    return trimmed(run)
 
 
-def _done(block: int | None, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], ["block", "data"])
+def _word_requests(buckets: int):
+    def requests(block: Block):
+        own = block.own(0)
+        order, cuts = _word_buckets(block.words, buckets)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = order[cuts[k] : cuts[k + 1]]
+            yield k, packed(_deltas(block.words[mine]), own[mine])
+
+    return requests
+
+
+def _word_table(buckets: int):
+    """Adds up a bucket's words over all blocks and answers each block: an id and the training count of each word it asked for."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf.bucket.iloc[0])
+        asked = [unpacked(x) for x in pdf.data]
+        hashes = [np.cumsum(d.astype(np.uint64), dtype=np.uint64) for d, _ in asked]
+        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([c for _, c in asked])).astype(np.int64)
+        parts = np.split(place, np.cumsum([len(h) for h in hashes])[:-1])
+        return _answers(bucket, pdf.block, [packed(mine * buckets + bucket + 1, counts[mine]) for mine in parts], counts)
+
+    return trimmed_group(run)
+
+
+def _gram_requests(k: int, model: Model, buckets: int):
+    def requests(block: Block):
+        context, last = block.grams[k]
+        own, ids, totals = block.own(k), block.ids_of(k), block.totals(k, model)
+        if k == 1:  # the shorter n-gram's count and its context's: here the word's, and all tokens
+            low, below = block.count[0][last], np.zeros(len(totals), np.int64)
+        else:
+            shorter, at = np.zeros(len(context), np.int64), block.at[k]
+            shorter[at] = block.at[k - 1]
+            low = block.count[k - 1][shorter]
+            below = np.zeros(len(totals), np.int64)
+            below[context] = block.totals(k - 1, model)[block.grams[k - 1][0][shorter]]
+        order, cuts = _gram_buckets(block, k, model, buckets)
+        for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = order[cuts[bucket] : cuts[bucket + 1]]
+            new = np.flatnonzero(np.diff(context[mine], prepend=-1))
+            c = context[mine[new]]
+            yield bucket, packed(np.diff(np.append(new, len(mine))), totals[c], below[c], *(x[c] for x in ids), block.word_id[last[mine]], own[mine], np.where(own[mine] > 0, low[mine], 0))
+
+    return requests
+
+
+def _numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of distinct rows, and the first place of each."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for x in columns:
+        values, inverse = np.unique(x, return_inverse=True)
+        _, first, code = np.unique(code * len(values) + inverse, return_index=True, return_inverse=True)
+    return code, first
+
+
+def _gram_table(k: int, model: Model):
+    """Adds up a bucket's n-grams over all blocks.  Each block learns its n-grams' counts, and of contexts that it must back off from what their weight takes:
+    how many n-grams were counted 1 to K times, and the shorter model's share of all those seen.  Those of hot contexts are partial sums, and go out by context."""
 
-def _finish(weights: dict[int, float], tokens: int):
-    """Scores of a block's documents from its base scores (kind 0) and the buckets' sums (kind 1)."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [unpacked(x) for x in pdf.data]
+        names, firsts = _numbered([np.concatenate([p[3 + i] for p in asked]) for i in range(k)])
+        totals, below = (np.concatenate([p[i] for p in asked])[firsts] for i in (1, 2))
+        runs = [p[0] for p in asked]
+        context = np.repeat(names, np.concatenate(runs))
+        place, gram = _numbered([context, np.concatenate([p[3 + k] for p in asked])])
+        own, low = (np.concatenate([p[i + k] for p in asked]) for i in (4, 5))
+        counts = np.bincount(place, weights=own).astype(np.int64)
+        lower = np.zeros(len(counts), np.int64)
+        np.maximum.at(lower, place[own > 0], low[own > 0])
+        of = context[gram]
+        part = np.where(counts > 0, model.share(k - 1, lower, below[of] if k > 1 else model.tokens), 0.0)
+        kinds = np.stack([np.bincount(of[counts == r], minlength=len(totals)) for r in range(1, K + 1)])
+        shares = np.bincount(of, weights=part, minlength=len(totals))
+        hot = model.is_hot(totals)
+        blobs, start, c_start = [], 0, 0
+        for p in asked:
+            n, m = len(p[3 + k]), len(p[0])
+            mine, cs = place[start : start + n], names[c_start : c_start + m]
+            start, c_start = start + n, c_start + m
+            c = counts[mine]
+            wanted = cs[_waiting(c, p[0], totals[cs]) & ~hot[cs]]
+            blobs.append(packed(c, *kinds[:, wanted], shares[wanted]))
+        keys = np.stack([np.concatenate([p[3 + i] for p in asked])[firsts] for i in range(k)], axis=1)[hot]
+        sums = np.concatenate([kinds, shares[None]])[:, hot].T
+        return _answers(int(pdf.bucket.iloc[0]), pdf.block, blobs, counts, keys.tolist(), sums.tolist())
+
+    return trimmed_group(run)
+
+
+def _waiting(counts: np.ndarray, runs: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Contexts that some unseen n-gram backs off from: they have a count themselves, and a follower that has none."""
+    return (np.minimum.reduceat(counts, np.cumsum(runs) - runs) == 0) & (totals > 0)
+
+
+def _told_words(buckets: int):
+    def told(block: Block, answers: dict[int, bytes]) -> list[np.ndarray]:
+        ids, count = np.zeros(len(block.words), np.int64), np.zeros(len(block.words), np.int64)
+        order, cuts = _word_buckets(block.words, buckets)
+        for bucket, blob in answers.items():
+            mine = order[cuts[bucket] : cuts[bucket + 1]]
+            ids[mine], count[mine] = unpacked(blob)
+        return [ids, count]
+
+    return told
+
+
+def _told_grams(k: int, model: Model, buckets: int, hot: dict[tuple, tuple]):
+    def told(block: Block, answers: dict[int, bytes]) -> list[np.ndarray]:
+        context, _ = block.grams[k]
+        totals, ids = block.totals(k, model), block.ids_of(k)
+        count, back = np.zeros(len(context), np.int64), np.zeros(len(totals))
+        order, cuts = _gram_buckets(block, k, model, buckets)
+        is_hot = model.is_hot(totals)
+        for bucket, blob in answers.items():
+            mine = order[cuts[bucket] : cuts[bucket + 1]]
+            c, *kinds, shares = unpacked(blob)
+            count[mine] = c
+            new = np.flatnonzero(np.diff(context[mine], prepend=-1))
+            cs = context[mine[new]]
+            wanted = cs[_waiting(c, np.diff(np.append(new, len(mine))), totals[cs]) & ~is_hot[cs]]
+            back[wanted] = model.weight(k, totals[wanted], np.stack(kinds), shares)
+        own_hot = np.flatnonzero(is_hot)
+        known = [hot.get(key) for key in zip(*(x[own_hot].tolist() for x in ids), strict=True)]
+        for place, sums in zip(own_hot.tolist(), known, strict=True):
+            if sums is not None:
+                back[place] = model.weight(k, totals[place : place + 1], np.array(sums[:K])[:, None], np.array(sums[K:]))[0]
+        return [count, back]
+
+    return told
+
+
+def _state(order: int, told):
+    """A block with what it has been told added."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, train, lens, known, base = unpacked(pdf[pdf.kind == 0].data.iloc[0])
-        score = np.zeros(len(ids))
-        for blob in pdf[pdf.kind == 1].data:
-            docs, value, waiting, left, times = unpacked(blob)
-            score[np.cumsum(docs.astype(np.int64))] += value
-            np.add.at(score, waiting, np.array([weights[x] for x in left.tolist()]) * times)
-        return pd.DataFrame({"doc_id": ids.astype(np.uint64).view(np.int64), "train": train > 0, "n_tokens": lens, "n_known": known, "train_tokens": tokens, "base_score": base, "score": score})
+        data = pdf.data[pdf.bucket.isna()].iloc[0]
+        block, rows = Block(data, order), pdf[pdf.bucket.notna()]
+        answers = dict(zip(rows.bucket.astype(int).tolist(), rows.data.tolist(), strict=True))
+        return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "data": [packed(*unpacked(data), *told(block, answers))]})
 
-    return run
+    return trimmed_group(run)
 
 
-def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scores(order: int, told, model: Model):
+    """Scores of a block's documents, token by token, once it has been told of its longest n-grams."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data, rows = pdf.data[pdf.bucket.isna()].iloc[0], pdf[pdf.bucket.notna()]
+        block = Block(data, order)
+        more = told(block, dict(zip(rows.bucket.astype(int).tolist(), rows.data.tolist(), strict=True)))
+        if order == 1:
+            block.count = more[1:]
+        else:
+            block.count.append(more[0])
+            block.back.append(more[1])
+        c = block.count[0][block.local]
+        sums = [np.add.reduceat(x, block.first) for x in (c > 0, model.base(c), block.log_probs(order - 1, model))]
+        ids = pd.array(block.ids, dtype="Int64")
+        ids[~block.named] = pd.NA
+        return pd.DataFrame({"doc_id": ids, "train": block.train, "n_tokens": block.lens, "n_known": sums[0].astype(np.int64), "train_tokens": model.tokens, "base_score": sums[1], "score": sums[2]})
+
+    return trimmed_group(run)
+
+
+def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, per_bucket: int = ASKED_PER_BUCKET) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
-    Tokens are the words (A-Z in lower case, split at space and 0x09-0x0D), then one end mark.  The model is a Katz backoff over pairs, learnt
-    from the documents that meet ``train`` (a condition on ``doc_id``).  The steps, with tables between them:
+    Tokens are the words (A-Z in lower case, split at space and 0x09-0x0D), then one end mark.  The model is a Katz backoff over n-grams of up to
+    ``order`` words, learnt from the documents that meet ``train`` (a condition on ``doc_id``).  The steps, with tables between them:
 
-    1. Documents form blocks, each with its own dictionary, so that a word or pair costs once per block, not once per place.
+    1. Documents form blocks, each with its own dictionary, so that a word or n-gram costs once per block, not once per place.
     2. Blocks ask the word table, which is dealt by word, for ids and counts.
-    3. Blocks send their pairs to the pair table, dealt by first word.  Hot first words (over 1/HOT of all tokens) are dealt by both words,
-       so no bucket grows with one word's share; the backoff weights of those fewer than HOT words are put together at the end.
-    4. Each bucket adds up counts, gets the discounts of the whole spectrum, and returns sums per document.
-
-    No table is held in one place: bucket numbers follow the corpus, and only the count spectra and the weights of hot words are collected.
-    Words not learnt count as one unknown word, after a word not learnt comes its own share.  Null text is the end mark alone.  Without any training text
-    every token is unknown.  A repeated row is learnt and scored once per row; an empty table gives no rows; other columns are ignored.
+    3. For n = 2 to ``order``: blocks ask the n-gram table, which is dealt by context, for the counts of their n-grams and the sums that
+       their contexts' backoff weights are made of.  Hot contexts (over 1/HOT of all training tokens) are dealt by n-gram, so no bucket grows
+       with one context's share; the sums of those fewer than HOT contexts of each length are put together by a group-by.
+    4. Each block scores its tokens: a seen n-gram has its discounted share, an unseen one its context's weight times what the next
+       shorter n-gram gives, recursively; a context that was not learnt hands down all.
+
+    A bucket gets one entry per block and n-gram, however often it stands there.  No table is held in one place: bucket numbers follow the corpus,
+    and only count spectra and the sums of hot contexts are collected.
+
+    Words not learnt count as one unknown word.  Null text is the end mark alone.  Without any training text every token is unknown.
+    A null id is not trained on and gives a row with a null id.  A repeated row is learnt and scored once per row; very long texts are a
+    block of their own; there are no ties to break; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    base = whole_text(docs, id_col, text_col).withColumn("train", train.cast("int"))
-    blocks = scratch.write(base.mapInArrow(_blocks, "block long, words long, tokens long, data binary"), "blocks")
-    n_words, n_tokens = blocks.agg(F.sum("words"), F.sum("tokens")).first()
-    word_buckets, buckets = 1 + (n_words or 0) // WORDS_PER_BUCKET, 1 + (n_tokens or 0) // TOKENS_PER_BUCKET
-    asked = blocks.select("block", "data").mapInArrow(_word_requests(word_buckets), "bucket long, block long, data binary")
-    answers = scratch.write(asked.groupBy("bucket").applyInPandas(_word_table(word_buckets), WORD_TABLE), "words")
-    release(spark)
+    base = whole_text(docs, id_col, text_col).withColumn("train", F.coalesce(train.cast("int"), F.lit(0)))
+    state = scratch.write(base.mapInArrow(_blocks(block_bytes), "block long, words long, tokens long, texts long, data binary"), "blocks")
+    n_words, n_tokens, texts = (x or 0 for x in state.agg(F.sum("words"), F.sum("tokens"), F.sum("texts")).first())
+    state, last = state.select("block", "data"), "blocks"
     spectra = [F.sum(F.col("spectrum")[r]) for r in range(K + 1)]
-    row = answers.where("block is null").agg(F.sum("tokens"), F.sum("distinct"), *spectra).first()
-    texts = base.where("train = 1").count()
-    model = Words(row[0] or 0, row[1] or 0, [x or 0 for x in row[2:]], texts)
-
-    told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
-    sent = blocks.select("block", "data").join(told, "block").mapInArrow(_pair_requests(model, word_buckets, buckets), "kind long, bucket long, block long, data binary")
-    pairs = sent.groupBy("bucket").applyInPandas(_pair_table(model), "kind long, blocks array<long>, data array<binary>, spectrum array<long>")
-    pairs = scratch.write(pairs, "pairs")
-    scratch.drop("blocks", "words")
-    release(spark)
-    d = discounts([x or 0 for x in pairs.agg(*spectra).first()])
-    done = scratch.write(pairs.where("kind = 1").select("blocks", "data").mapInArrow(_evaluate(model, d), "block long, data binary"), "done")
-    sums: dict[int, list[float]] = {}
-    for r in done.where("block is null").select("data").toLocalIterator():  # fewer than HOT words a bucket
-        for left, share, own in zip(*(x.tolist() for x in unpacked(bytes(r.data))), strict=True):
-            s = sums.setdefault(left, [1.0, 1.0])
-            s[0] -= share
-            s[1] -= own
-    weights = {k: float(np.log10(max(1e-300, a)) - np.log10(max(1e-300, b))) for k, (a, b) in sums.items()}
-    bases = pairs.where("kind = 0").select(F.col("blocks")[0].alias("block"), "kind", F.col("data")[0].alias("data"))
-    both = bases.unionByName(done.where("block is not null").select("block", F.lit(1).cast("long").alias("kind"), "data"))
-    schema = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.groupBy("block").applyInPandas(_finish(weights, model.tokens), schema)
+
+    def asked(k: int, requests, table) -> DataFrame:
+        return scratch.write(state.mapInArrow(_asking(k, requests), ASKED).groupBy("bucket").applyInPandas(table, TABLE), f"table-{k}")
+
+    def joined(answers: DataFrame):
+        own = state.select("block", F.lit(None).cast("long").alias("bucket"), "data")
+        return own.unionByName(answers.where("block is not null").select("block", "bucket", "data")).groupBy("block")
+
+    buckets = 1 + n_words // per_bucket
+    answers = asked(1, _word_requests(buckets), _word_table(buckets))
+    row = answers.agg(F.sum("tokens"), F.sum("distinct"), *spectra).first()
+    model = Model(row[0] or 0, row[1] or 0, texts, [x or 0 for x in row[2:]])
+    told = _told_words(buckets)
+    buckets = 1 + n_tokens // per_bucket
+    for k in range(1, order):
+        state = scratch.write(joined(answers).applyInPandas(_state(k, told), "block long, data binary"), f"state-{k}")
+        scratch.drop(last, f"table-{k}")
+        last = f"state-{k}"
+        answers = asked(k + 1, _gram_requests(k, model, buckets), _gram_table(k, model))
+        model.d.append(discounts([x or 0 for x in answers.agg(*spectra).first()]))
+        sums = [F.sum(F.col("sums")[i]) for i in range(K + 1)]
+        hot = {tuple(r[0]): tuple(r[1:]) for r in answers.where("key is not null").groupBy("key").agg(*sums).collect()}  # fewer than HOT
+        told = _told_grams(k, model, buckets, hot)
+    return joined(answers).applyInPandas(_scores(order, told, model), SCORES)
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pytest
 
-from segmill.llm import katz as module
+from segmill.llm.common import crc_mod
 from segmill.llm.katz import K, discounts, katz, op9
 
 
@@ -14,34 +15,47 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), "</s>"]
 
 
-def brute(rows, is_train):
-    words, pairs, texts = Counter(), Counter(), 0
+def brute(rows, is_train, order):
+    counts, texts = [Counter() for _ in range(order)], 0
     for i, t in rows:
         if is_train(i):
             ts = tokens(t)
             texts += 1
-            words.update(ts)
-            pairs.update(zip(["<s>", *ts], ts, strict=False))
+            padded = ["<s>"] * (order - 1) + ts
+            for n in range(1, order + 1):
+                counts[n - 1].update(tuple(padded[k + order - n : k + order]) for k in range(len(ts)))
+    words = counts[0]
     n, v = sum(words.values()), len(words)
-    spec = lambda c: [sum(1 for x in c.values() if x == r) for r in range(1, K + 2)]
-    d1, d2 = discounts(spec(words)), discounts(spec(pairs))
-    gone = sum((1 - d1[c]) * c for c in words.values() if c <= K)
-    own = lambda w: d1[min(words[w], K + 1)] * words[w] / (n + 0.5) if words[w] else (gone + 0.5) / (n + 0.5)
-    after = defaultdict(dict)
-    for (a, b), c in pairs.items():
-        after[a][b] = d2[min(c, K + 1)] * c / ((words[a] if a != "<s>" else texts) + 1)
-    weight = {a: (1 - sum(f.values())) / (1 - sum(own(b) for b in f)) for a, f in after.items()}
-
-    def prob(a, b):
-        return after[a][b] if b in after.get(a, {}) else weight.get(a, 1.0) * own(b)
+    d = [discounts([sum(1 for x in c.values() if x == r) for r in range(1, K + 2)]) for c in counts]
+    gone = sum((1 - d[0][c]) * c for c in words.values() if c <= K)
+    total = lambda h: texts if set(h) == {"<s>"} else counts[len(h) - 1][h]
+    after = defaultdict(list)
+    for c in counts[1:]:
+        for g in c:
+            after[g[:-1]].append(g[-1])
+
+    @lru_cache(None)
+    def weight(h):
+        return (1 - sum(prob(h, w) for w in after[h])) / (1 - sum(prob(h[1:], w) for w in after[h]))
+
+    @lru_cache(None)
+    def prob(h, w):
+        if not h:
+            return d[0][min(words[w,], K + 1)] * words[w,] / (n + 0.5) if words[w,] else (gone + 0.5) / (n + 0.5)
+        c = counts[len(h)][*h, w]
+        if c:
+            return d[len(h)][min(c, K + 1)] * c / (total(h) + 1)
+        return weight(h) * prob(h[1:], w) if h in after else prob(h[1:], w)
 
     out = {}
     for i, t in rows:
         ts = tokens(t)
-        out[i] = (len(ts), sum(words[w] > 0 for w in ts), n, sum(math.log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), sum(math.log10(prob(a, b)) for a, b in zip(["<s>", *ts], ts, strict=False)))
-    vocabulary = [*words, "never seen"]
-    for a in [*list(after)[:30], "nowhere"]:
-        assert sum(prob(a, b) for b in vocabulary) == pytest.approx(1, abs=1e-9)
+        padded = ["<s>"] * (order - 1) + ts
+        score = sum(math.log10(prob(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(ts))
+        out[i] = (len(ts), sum(words[w,] > 0 for w in ts), n, sum(math.log10((words[w,] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), score)
+    vocabulary = [*(w for (w,) in words), "never seen"]
+    for h in [*list(after)[:20], *list(after)[-20:], ("nowhere",) * (order - 1)]:
+        assert sum(prob(h, b) for b in vocabulary) == pytest.approx(1, abs=1e-9)
     return out
 
 
@@ -53,21 +67,28 @@ def make():
     return rows + [(900, None), (901, ""), (902, "the " * 30_000), (903, "x" * 50_000), (-5, "the of \n the")]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_same_as_brute_force(spark, small, monkeypatch):
-    if small:  # many blocks and buckets, and hot words spread over them
-        monkeypatch.setattr(module, "BLOCK_BYTES", 2000)
-        monkeypatch.setattr(module, "WORDS_PER_BUCKET", 700)
-        monkeypatch.setattr(module, "TOKENS_PER_BUCKET", 5000)
+@pytest.mark.parametrize(("order", "small"), [(3, False), (3, True), (2, True), (4, True), (1, True)])
+def test_same_as_brute_force(spark, order, small):
     rows = make()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, block string, train int").repartition(3)
-    want = brute(rows, lambda i: zlib.crc32(str(i).encode()) % 5 != 1)
-    got = op9(df).collect()
+    is_train = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    want = brute(rows, is_train, order)
+    sizes = {"block_bytes": 2000, "per_bucket": 5000} if small else {}  # many blocks and buckets, and hot contexts spread over them
+    got = katz(df, crc_mod("doc_id", 5) != 1, order=order, **sizes).collect()
     assert sorted(r.doc_id for r in got) == sorted(want)
     for r in got:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
         assert r.base_score == pytest.approx(want[r.doc_id][3], abs=1e-6) and r.score == pytest.approx(want[r.doc_id][4], abs=1e-6)
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
+        assert r.train == is_train(r.doc_id)
+
+
+def test_query_and_null_ids(spark):
+    rows = make()
+    want = brute(rows, lambda i: zlib.crc32(str(i).encode()) % 5 != 1, 3)
+    df = spark.createDataFrame([*rows, (None, "the of")], "doc_id long, text string")
+    got = {r.doc_id: r for r in op9(df).collect()}
+    assert got.pop(None).held_out and {i: round(r.score, 5) for i, r in got.items()} == {i: round(x[4], 5) for i, x in want.items()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1) for i, r in got.items())
 
 
 def test_no_rows_or_no_training(spark):
