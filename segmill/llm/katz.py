@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,8 @@ from .common import Scratch, crc_mod, in_chunks, mix64, trimmed, trimmed_group,
 ORDER = 3  # words of the longest n-gram
 K = 5  # counts up to K are discounted
 BLOCK_BYTES = 4_000_000  # text of a block: documents whose tokens share a dictionary
-ASKED_PER_BUCKET = 1_000_000  # n-grams, distinct in their block, that meet in a bucket of a table, about
+ASKED_PER_BUCKET = 600_000  # n-grams, distinct in their block, that meet in a bucket of a table, about
+PARTS = 2  # times that blocks ask the tables of n-grams, and that blocks are scored, to bound the disk
 HOT = 1000  # a context with over 1/HOT of all training tokens is hot: there are fewer than HOT of each length
 END = np.uint64(1)  # hash of the mark that closes a text; words avoid it
 _U = np.uint64
@@ -40,15 +42,15 @@ def packed(*arrays: np.ndarray) -> bytes:
     return len(text).to_bytes(4, "little") + text + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
-def unpacked(blob: bytes) -> list[np.ndarray]:
-    """The arrays, integers as signed 64-bit ones (hashes keep their bits)."""
+def unpacked(blob: bytes, narrow: bool = False) -> list[np.ndarray]:
+    """The arrays, integers as signed 64-bit ones (hashes keep their bits) unless ``narrow``."""
     n = int.from_bytes(blob[:4], "little")
     data, at, out = zstandard.ZstdDecompressor().decompress(blob[4 + n :]), 0, []
     for kind, size in json.loads(blob[4 : 4 + n]):
         width = np.dtype(kind).itemsize
         a = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T).view(kind).ravel()
         at += size * width
-        out.append(a if a.dtype.kind == "f" else a.astype(np.int64))
+        out.append(a if a.dtype.kind == "f" or narrow and width < 8 else a.astype(np.int64))
     return out
 
 
@@ -240,8 +242,8 @@ def _asking(order: int, requests):
     def run(batches):
         for b in batches:
             for number, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
-                for bucket, blob in requests(Block(data, order)):
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "block", "data"])
+                asked = list(requests(Block(data, order)))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in asked], pa.int64()), pa.array([number] * len(asked), pa.int64()), pa.array([x for _, x in asked], pa.binary())], ["bucket", "block", "data"])
 
     return trimmed(run)
 
@@ -272,7 +274,9 @@ def _word_table(buckets: int):
     return trimmed_group(run)
 
 
-def _gram_requests(k: int, model: Model, buckets: int):
+def _gram_requests(k: int, model: Model, buckets: int, part: int):
+    """What a block asks the buckets whose number leaves ``part`` when divided by PARTS."""
+
     def requests(block: Block):
         context, last = block.grams[k]
         own, ids, totals = block.own(k), block.ids_of(k), block.totals(k, model)
@@ -286,6 +290,8 @@ def _gram_requests(k: int, model: Model, buckets: int):
             below[context] = block.totals(k - 1, model)[block.grams[k - 1][0][shorter]]
         order, cuts = _gram_buckets(block, k, model, buckets)
         for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            if bucket % PARTS != part:
+                continue
             mine = order[cuts[bucket] : cuts[bucket + 1]]
             new = np.flatnonzero(np.diff(context[mine], prepend=-1))
             c = context[mine[new]]
@@ -308,16 +314,16 @@ def _gram_table(k: int, model: Model):
     how many n-grams were counted 1 to K times, and the shorter model's share of all those seen.  Those of hot contexts are partial sums, and go out by context."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = [unpacked(x) for x in pdf.data]
+        asked = [unpacked(x, narrow=True) for x in pdf.data]
         names, firsts = _numbered([np.concatenate([p[3 + i] for p in asked]) for i in range(k)])
-        totals, below = (np.concatenate([p[i] for p in asked])[firsts] for i in (1, 2))
+        totals, below = (np.concatenate([p[i] for p in asked])[firsts].astype(np.int64) for i in (1, 2))
         runs = [p[0] for p in asked]
         context = np.repeat(names, np.concatenate(runs))
         place, gram = _numbered([context, np.concatenate([p[3 + k] for p in asked])])
         own, low = (np.concatenate([p[i + k] for p in asked]) for i in (4, 5))
         counts = np.bincount(place, weights=own).astype(np.int64)
         lower = np.zeros(len(counts), np.int64)
-        np.maximum.at(lower, place[own > 0], low[own > 0])
+        lower[place[own > 0]] = low[own > 0]  # the same in every block
         of = context[gram]
         part = np.where(counts > 0, model.share(k - 1, lower, below[of] if k > 1 else model.tokens), 0.0)
         kinds = np.stack([np.bincount(of[counts == r], minlength=len(totals)) for r in range(1, K + 1)])
@@ -329,9 +335,9 @@ def _gram_table(k: int, model: Model):
             mine, cs = place[start : start + n], names[c_start : c_start + m]
             start, c_start = start + n, c_start + m
             c = counts[mine]
-            wanted = cs[_waiting(c, p[0], totals[cs]) & ~hot[cs]]
+            wanted = cs[_waiting(c, p[0].astype(np.int64), totals[cs]) & ~hot[cs]]
             blobs.append(packed(c, *kinds[:, wanted], shares[wanted]))
-        keys = np.stack([np.concatenate([p[3 + i] for p in asked])[firsts] for i in range(k)], axis=1)[hot]
+        keys = np.stack([np.concatenate([p[3 + i] for p in asked])[firsts].astype(np.int64) for i in range(k)], axis=1)[hot]
         sums = np.concatenate([kinds, shares[None]])[:, hot].T
         return _answers(int(pdf.bucket.iloc[0]), pdf.block, blobs, counts, keys.tolist(), sums.tolist())
 
@@ -445,29 +451,33 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     state, last = state.select("block", "data"), "blocks"
     spectra = [F.sum(F.col("spectrum")[r]) for r in range(K + 1)]
 
-    def asked(k: int, requests, table) -> DataFrame:
-        return scratch.write(state.mapInArrow(_asking(k, requests), ASKED).groupBy("bucket").applyInPandas(table, TABLE), f"table-{k}")
+    def asked(name: str, k: int, requests, table) -> DataFrame:
+        return scratch.write(state.mapInArrow(_asking(k, requests), ASKED).groupBy("bucket").applyInPandas(table, TABLE), name)
 
     def joined(answers: DataFrame):
         own = state.select("block", F.lit(None).cast("long").alias("bucket"), "data")
-        return own.unionByName(answers.where("block is not null").select("block", "bucket", "data")).groupBy("block")
+        return own.unionByName(answers.where("block is not null").select("block", "bucket", "data"))
 
-    buckets = 1 + n_words // per_bucket
-    answers = asked(1, _word_requests(buckets), _word_table(buckets))
+    buckets, tables = 1 + n_words // per_bucket, ["words"]
+    answers = asked("words", 1, _word_requests(buckets), _word_table(buckets))
     row = answers.agg(F.sum("tokens"), F.sum("distinct"), *spectra).first()
     model = Model(row[0] or 0, row[1] or 0, texts, [x or 0 for x in row[2:]])
     told = _told_words(buckets)
     buckets = 1 + n_tokens // per_bucket
     for k in range(1, order):
-        state = scratch.write(joined(answers).applyInPandas(_state(k, told), "block long, data binary"), f"state-{k}")
-        scratch.drop(last, f"table-{k}")
-        last = f"state-{k}"
-        answers = asked(k + 1, _gram_requests(k, model, buckets), _gram_table(k, model))
+        state = scratch.write(joined(answers).groupBy("block").applyInPandas(_state(k, told), "block long, data binary"), f"state-{k}")
+        scratch.drop(last, *tables)
+        last, tables = f"state-{k}", [f"grams-{k}-{part}" for part in range(PARTS)]
+        parts = [asked(name, k + 1, _gram_requests(k, model, buckets, part), _gram_table(k, model)) for part, name in enumerate(tables)]
+        answers = reduce(DataFrame.unionByName, parts)
         model.d.append(discounts([x or 0 for x in answers.agg(*spectra).first()]))
         sums = [F.sum(F.col("sums")[i]) for i in range(K + 1)]
         hot = {tuple(r[0]): tuple(r[1:]) for r in answers.where("key is not null").groupBy("key").agg(*sums).collect()}  # fewer than HOT
         told = _told_grams(k, model, buckets, hot)
-    return joined(answers).applyInPandas(_scores(order, told, model), SCORES)
+    mine = F.pmod(F.xxhash64("block"), F.lit(PARTS))
+    scores = [scratch.write(joined(answers).where(mine == part).groupBy("block").applyInPandas(_scores(order, told, model), SCORES), f"scores-{part}") for part in range(PARTS)]
+    scratch.drop(last, *tables)
+    return reduce(DataFrame.unionByName, scores)
 
 
 def op9(docs: DataFrame) -> DataFrame:
