@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _INV, _powers, crc_mod, in_chunks, mix64
+from .common import _BYTE, _INV, _powers, bounded_batches, crc_mod, in_chunks, mix64, trimmed
 from .gru import Adam, gradients, pad_rows, recurrent_params, states
 
 WINDOW, STRIDE = 24, 12  # words; every position of a text lies in two windows, but for its ends
@@ -17,8 +17,9 @@ GRAM, GRAM_BUCKETS = 4, 1 << 13  # hashed character grams, with word borders
 MIN_DOCS = 4  # sampled documents that a word must stand in to have an input of its own
 SAMPLE_PER_CLASS = 2000  # labelled documents of each class that a model is fitted on, at most
 EARLY_WINDOWS = 3  # windows of a document in each early pass
+EMPTY = -4.0  # logit of a text without a word
 EMBED_RATE = 15.0  # step of the word and character tables
-SPAN_WINDOWS = 60  # windows kept of each of them, from places spread over the whole text, at most
+CHUNK = 1_000_000  # bytes whose words are hashed at a time
 _F = np.float32
 _U = np.uint64
 
@@ -29,15 +30,25 @@ _WORD[ord("a") : ord("z") + 1] = _WORD[ord("0") : ord("9") + 1] = _WORD[128:] =
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The joined bytes; hash, start and end of every word; how many words each (lower-cased) text has."""
-    buf = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
-    inside = _WORD[buf]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, ends = edge[::2], edge[1::2]
-    p, q = _powers(len(buf))
-    sums = np.cumsum(_BYTE[buf] * p[: len(buf)])
-    h = mix64((sums[ends - 1] - sums[starts - 1]) * q[starts])
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    return buf, h, starts, ends, np.diff(np.searchsorted(starts, limits), prepend=0)
+    parts, at, base = [], 0, 0
+    while at < len(texts) or not parts:
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end])
+            end += 1
+        buf = np.frombuffer(b"\n" + b"\n".join(texts[at:end]) + b"\n", np.uint8)
+        inside = _WORD[buf]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edge[::2], edge[1::2]
+        p, q = _powers(len(buf))
+        sums = _BYTE[buf]
+        sums *= p[: len(buf)]
+        np.cumsum(sums, out=sums)
+        h = mix64((sums[ends - 1] - sums[starts - 1]) * q[starts])
+        limits = np.cumsum([len(t) + 1 for t in texts[at:end]])
+        parts.append((buf, h, starts + base, ends + base, np.diff(np.searchsorted(starts, limits), prepend=0)))
+        base, at = base + len(buf), end
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def grams_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,19 +95,19 @@ class Model:
             logits[i : i + block] = self._head(states(x, gates, self.p["u"], self.p["bn"]), x.T < len(inputs))[0]
         return logits
 
-    def highest(self, texts: list[bytes]) -> np.ndarray:
-        """Per text, the highest logit of all its windows; a text without a word has the logit of an empty window."""
+    def highest(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text, the highest logit of all its windows, and whether it has a word (else the logit is that of EMPTY)."""
         buf, h, starts, ends, n = words_of(texts)
         top = np.full(len(texts), -np.inf)
         if len(h):
             symbols, inputs, owner = self.prepared(buf, h, starts, ends, n)
             np.maximum.at(top, owner, self.window_logits(symbols, inputs).astype(np.float64))
-        return np.where(n > 0, np.clip(top, -20, 20), -4.0)
+        return np.where(n > 0, np.clip(top, -20, 20), EMPTY), n > 0
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         slope, offset = self.p["scale"]
-        top = self.highest(texts)
-        return np.where(top == -4.0, 1 / (1 + np.exp(4.0)), 1 / (1 + np.exp(-np.clip(slope * top + offset, -30, 30))))
+        top, worded = self.highest(texts)
+        return 1 / (1 + np.exp(-np.where(worded, np.clip(slope * top + offset, -30, 30), EMPTY)))
 
     def prepared(self, buf, h, starts, ends, n):
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -194,9 +205,9 @@ class Model:
     def calibrate(self, texts: list[bytes], toxic: np.ndarray, share: float) -> None:
         """Fits slope and offset of the highest logit on documents left out of training, weighted to the true share of label 1."""
         y = toxic.astype(np.float64)
-        if not 0 < y.mean() < 1:
+        if len(set(y.tolist())) < 2:
             return
-        x = self.highest(texts)
+        x, _ = self.highest(texts)
         share = min(0.99, max(0.01, share))
         w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         f = np.stack([x / 4, np.ones_like(x)])
@@ -224,30 +235,15 @@ def windows(symbol: np.ndarray, n: np.ndarray, pad: int) -> tuple[np.ndarray, np
     return rows, owner
 
 
-def _clip(batches):
-    """Of each sampled text all words if they are few, else runs of words from places all over it."""
-    for b in batches:
-        out = []
-        for t in b.column("text").to_pylist():
-            words = (t or "").lower().split()
-            most = SPAN_WINDOWS * STRIDE
-            if len(words) > most:
-                runs = SPAN_WINDOWS // 6
-                step = len(words) / runs
-                words = [w for i in range(runs) for w in words[int(i * step) : int(i * step) + most // runs]]
-            out.append(" ".join(words).encode())
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.binary())], ["toxic", "text"])
-
-
 def sample(docs: DataFrame, labels: DataFrame, train, id_col: str, text_col: str, label_col: str) -> tuple[list, float]:
-    """Texts of at most SAMPLE_PER_CLASS labelled documents of either class, chosen by a hash of their ids; the share of label 1."""
+    """Whole texts of at most SAMPLE_PER_CLASS labelled documents of either class, chosen by a hash of their ids; the share of label 1."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(train).where("toxic in (0, 1) and id is not null")
     ids = None
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CLASS)
         ids = part if ids is None else ids.unionByName(part)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")  # bounded: 2 * SAMPLE_PER_CLASS
-    texts = sorted(map(tuple, rows.select("toxic", "text").mapInArrow(_clip, "toxic int, text binary").collect()))
+    texts = sorted((r.toxic, (r.text or "").lower().encode()) for r in rows.select("toxic", "text").collect())
     return texts, float(known.agg(F.avg("toxic")).first()[0] or 0)
 
 
@@ -259,7 +255,7 @@ def _score(shared):
                 texts = [(t or "").lower().encode() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(texts))], ["doc_id", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def _keep(shared, text_col: str):
@@ -269,17 +265,21 @@ def _keep(shared, text_col: str):
                 scores = shared.value.scores([(t or "").lower().encode() for t in b.column(text_col).to_pylist()])
                 yield b.filter(pa.array(scores < 0.5))
 
-    return run
+    return trimmed(run)
 
 
 def _learnt(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None, train, id_col: str, text_col: str, label_col: str):
     rows, share = sample(docs if labelled is None else labelled, labels, F.lit(True) if train is None else train, id_col, text_col, label_col)
-    model = Model.learn([bytes(t) for _, t in rows], np.array([y for y, _ in rows], np.int64), share)
+    bounded_batches(docs.sparkSession)
+    model = Model.learn([t for _, t in rows], np.array([y for y, _ in rows], np.int64), share)
     return docs.sparkSession.sparkContext.broadcast(model)  # some MB: bounded by the sample
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, train=None, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`toxicity` does not predict as toxic; one pass without a shuffle."""
+    """The rows of ``docs``, all columns, that :func:`toxicity` does not predict as toxic; one pass without a shuffle.
+
+    Null and empty texts stay.  Rows are judged by themselves: repeated rows, null ids and further columns do not matter; an empty table gives no rows.
+    """
     shared = _learnt(docs, labels, labelled, train, id_col, text_col, label_col)
     return docs.mapInArrow(_keep(shared, text_col), docs.schema)
 
@@ -291,8 +291,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train=None, labelled: DataFrame
     in both directions, from an input that joins the word's own vector (for words of the training sample) with the mean of its
     hashed character grams, pools the states by attention, and gives a probability.  The document's score is its highest.
     The model is fitted on at most SAMPLE_PER_CLASS documents of each class of ``labels`` that meet ``train``, joined with ``labelled``
-    (``docs`` by default).  Null, empty or wordless text scores 0.018.  With labels of one class only, all score that way.
-    Rows are scored one by one, so repeated ids and ties do not matter; an empty table gives no rows.
+    (``docs`` by default).  Null, empty or wordless text scores 0.018, and so does every text without any label.  With labels of one
+    class only, texts with a word score 0.018 (label 0) or 0.982 (label 1).  Repeated and very long texts are no matter: rows are scored one by one,
+    as are repeated and null ids; a tie at 0.5 is predicted 1; an empty table gives no rows; other columns are ignored.
     """
     shared = _learnt(docs, labels, labelled, train, id_col, text_col, label_col)
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(shared), "doc_id long, score double")
