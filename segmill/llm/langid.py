@@ -4,43 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_chunks
+from .common import bounded_batches, crc_mod, in_chunks, trimmed
 from .gru import Adam, gradients, pad_rows, recurrent_params, states
 
 HIDDEN = 8
 STEPS = 96  # bytes that the network reads as one row
 SAMPLE_PER_LANG = 400  # labelled documents per language that a model is fitted on, at most
-MAX_LANGS = 200  # languages that a model tells apart, at most
-SPANS = 3  # rows of STEPS bytes taken from each of them, from places spread over the whole text
+SAMPLE_ROWS = 40_000  # of all languages together, at most; where that binds, every language has its first ones before any has more
+DRAWS = 9  # rows that training draws per sampled document, about
 _F = np.float32
 
 
-def _spans(batches):
-    """Rows of bytes from places all over each sampled text."""
-    for b in batches:
-        out = []
-        for t in b.column("text").to_pylist():
-            data = t.lower().encode()
-            n = max(1, len(data) - STEPS + 1)
-            out.append([data[i : i + STEPS] for i in sorted({(2 * k + 1) * n // (2 * SPANS) for k in range(SPANS)})])
-        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["lang", "spans"])
-
-
 def sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str) -> list:
-    """Spans of at most SAMPLE_PER_LANG * MAX_LANGS labelled documents, chosen by a hash of their ids."""
+    """lang and whole text of at most SAMPLE_PER_LANG documents per language, chosen by a hash of their ids.
+
+    The ranks need one pass over ids and languages (each task passes on no more than it may need), the texts another.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(train).where("lang is not null and text is not null and text <> ''")
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    ids = None
-    for lang in langs:
-        part = rows.where(F.col("lang") == lang).select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_LANG)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
-        return []
-    picked = rows.join(F.broadcast(ids), "id", "left_semi")  # bounded: MAX_LANGS * SAMPLE_PER_LANG ids
-    return sorted(picked.select("lang", "text").mapInArrow(_spans, "lang string, spans array<binary>").collect(), key=lambda r: (r.lang, r.spans))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    ids = rows.select("id", "lang", rank.alias("rank")).where(F.col("rank") <= SAMPLE_PER_LANG).orderBy("rank", F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    picked = rows.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")  # bounded: SAMPLE_ROWS ids
+    return sorted(picked.select("lang", "text").collect())
 
 
 def _rows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,24 +50,22 @@ class Model:
 
     @staticmethod
     def fit(rows: list, hidden: int = HIDDEN, passes: int = 40, seed: int = 7) -> Model:
-        """Cross-entropy at every position, by backpropagation through time."""
+        """Cross-entropy at every position, by backpropagation through time, on rows drawn from all over the whole texts of ``rows`` (lang, text)."""
         langs = sorted({r.lang for r in rows})
         rng = np.random.default_rng(seed)
-        spans = [(s, langs.index(r.lang)) for r in rows for s in r.spans if s]
         p = recurrent_params(rng, hidden) | {"gates": (0.3 * rng.standard_normal((2, 256, 3 * hidden))).astype(_F), "v": (0.3 * rng.standard_normal((2 * hidden, max(1, len(langs))))).astype(_F), "c": np.zeros(max(1, len(langs)), _F)}
         model = Model(langs, p)
         if len(langs) < 2:
             return model
-        symbols = np.full((len(spans), STEPS), 256, np.int64)
-        for i, (s, _) in enumerate(spans):
-            symbols[i, : len(s)] = np.frombuffer(s, np.uint8)
-        label = np.array([y for _, y in spans])
-        weight = (1 / np.bincount(label, minlength=len(langs)))[label]
+        symbols, owner = _rows_of([r.text.lower().encode() for r in rows])
+        label = np.array([langs.index(r.lang) for r in rows])
+        weight = (1 / np.bincount(label, minlength=len(langs)))[label][owner] / np.bincount(owner)[owner]  # languages alike, then documents, then rows
+        label = label[owner]
         opt, size = Adam(p, 0.02), 128
-        steps = max(passes, -(-len(spans) // size) * 3)
+        steps = max(passes, -(-len(rows) * DRAWS // size))
         for step in range(steps):
             opt.rate = 0.02 * (1 - step / steps) + 0.001
-            pick = rng.choice(len(spans), min(size, len(spans)), p=weight / weight.sum())
+            pick = rng.choice(len(symbols), min(size, len(symbols)), p=weight / weight.sum())
             x, tape = symbols[pick], []
             gates = pad_rows(p["gates"])
             h = states(x, gates, p["u"], p["bn"], tape)
@@ -133,7 +118,7 @@ def _score(shared):
                 lang, score = _labels(shared.value, b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def _keep(shared, text_col: str, least: float):
@@ -143,15 +128,17 @@ def _keep(shared, text_col: str, least: float):
                 lang, score = _labels(shared.value, b.column(text_col).to_pylist())
                 yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return run
+    return trimmed(run)
 
 
 def keep_identified(docs: DataFrame, least: float, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language that :func:`identify` gives a score of ``least`` or more.
 
-    One pass without a shuffle.  Without labelled rows nothing can be identified, so no row stays.
+    One pass without a shuffle.  Without labelled rows nothing can be identified, so no row stays.  Null and empty texts go.  Each row is judged
+    by itself, whatever its length: repeated rows and ids, null ids, ties and further columns do not matter; an empty table gives no rows.
     """
     rows = sample(docs, F.lit(True) if train is None else train, id_col, text_col, lang_col)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Model.fit(rows))
     return docs.mapInArrow(_keep(shared, text_col, least), docs.schema)
 
@@ -160,12 +147,13 @@ def identify(docs: DataFrame, train=None, labelled: DataFrame | None = None, id_
     """One row per document: doc_id, lang_pred, score (the pooled probability of that language, 0 to 1).
 
     The network reads every byte of the lower-cased text in rows of STEPS bytes, labels each position, and the document's
-    probabilities are the mean over its positions.  It is fitted on spans of at most SAMPLE_PER_LANG documents per
-    language (at most MAX_LANGS languages) of ``labelled`` (``docs`` itself by default) that meet ``train``.
+    probabilities are the mean over its positions.  It is fitted on whole texts of at most SAMPLE_PER_LANG documents per
+    language (SAMPLE_ROWS in all) of ``labelled`` (``docs`` itself by default) that meet ``train``.
     Null text and text without a letter is ``und`` with score 0; so is everything if no row is labelled.  Equal
     probabilities give the first language in order.  Ids may repeat: each row is scored by itself.
     """
     rows = sample(docs if labelled is None else labelled, F.lit(True) if train is None else train, id_col, text_col, lang_col)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Model.fit(rows))  # some 10 kB per model
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_score(shared), "doc_id long, lang_pred string, score double")

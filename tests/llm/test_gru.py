@@ -111,3 +111,84 @@ def test_grams_have_word_borders():
     buf, h, starts, ends, n = toxicity.words_of([b"abcd xabcdy", b"abcd"])
     grams, counts = toxicity.grams_of(buf, starts, ends)
     assert counts.tolist() == [3, 5, 3] and grams[:3].tolist() == grams[8:].tolist() and grams[1] in grams[3:8]
+
+
+def plain_gru(rows, u, bn):
+    """States of one direction for gate inputs [t, 3h], one step at a time."""
+    k, h, out = u.shape[0], np.zeros(u.shape[0]), []
+    for x in rows:
+        s = h @ u
+        z, r = (1 / (1 + np.exp(-(x[a : a + k] + s[a : a + k]))) for a in (0, k))
+        n = np.tanh(x[2 * k :] + r * (s[2 * k :] + bn))
+        h = (1 - z) * n + z * h
+        out.append(h)
+    return np.array(out)
+
+
+def both_ways(gates, p):
+    return np.concatenate([plain_gru(gates[0], p["u"][0].astype(float), p["bn"][0, 0]), plain_gru(gates[1][::-1], p["u"][1].astype(float), p["bn"][1, 0])[::-1]], axis=1)
+
+
+def test_language_scores_same_as_brute_force():
+    from pyspark.sql import Row
+
+    rnd = random.Random(2)
+    rows = [Row(lang=lang, text="".join(rnd.choice(parts) for _ in range(rnd.randint(1, 90)))) for _ in range(20) for lang, parts in (("aa", ["the", " ing", "re"]), ("bb", ["schö", "ung ", "te"]))]
+    model = langid.Model.fit(rows, passes=5)
+    texts = [r.text.lower().encode() for r in rows[:6]] + [b"x" * 500]
+    for text, got in zip(texts, model.pooled(texts), strict=True):
+        total = np.zeros(2)
+        for at in range(0, len(text), langid.STEPS):  # every byte counts once
+            symbols = list(text[at : at + langid.STEPS])
+            logits = both_ways(model.p["gates"][:, symbols].astype(float), model.p) @ model.p["v"] + model.p["c"]
+            e = np.exp(logits - logits.max(axis=1, keepdims=True))
+            total += (e / e.sum(axis=1, keepdims=True)).sum(axis=0)
+        assert np.allclose(got, total / len(text), atol=1e-5)
+
+
+def test_toxicity_scores_same_as_brute_force():
+    rows, labels = make(80, 3)
+    texts = [t.encode() for _, t, *_ in rows]
+    model = toxicity.Model.learn(texts, np.array([y for *_, y in labels]), 0.25)
+    probe = [*texts[:6], b"", b"wab grobnik " * 40, " ".join(["x%d" % i for i in range(61)]).encode()]
+    slope, offset = model.p["scale"]
+    for text, got in zip(probe, model.scores(probe), strict=True):
+        buf, h, starts, ends, n = toxicity.words_of([text])
+        if not len(h):
+            assert abs(got - 0.018) < 1e-3
+            continue
+        inputs, _ = model._inputs(model.rows_of(h), *toxicity.grams_of(buf, starts, ends))
+        best = -np.inf
+        for at in sorted({*range(0, max(1, len(h) - toxicity.WINDOW + 1), toxicity.STRIDE), max(0, len(h) - toxicity.WINDOW)}):
+            window = inputs[at : at + toxicity.WINDOW].astype(float)
+            out = both_ways(np.stack([window @ model.p["x"][d] + model.p["xb"][d] for d in (0, 1)]), model.p)
+            s = out @ model.p["v"]
+            a = np.exp(s - s.max())
+            best = max(best, (a / a.sum()) @ out @ model.p["w"] + model.p["b"][0])
+        assert np.isclose(got, 1 / (1 + np.exp(-(slope * np.clip(best, -20, 20) + offset))), atol=1e-4)
+
+
+def test_words_are_the_same_in_chunks(monkeypatch):
+    texts = [b"ab cd", b"", b"e" * 50, b"  x y ", b"ab"]
+    whole = toxicity.words_of(texts)
+    monkeypatch.setattr(toxicity, "CHUNK", 8)
+    parts = toxicity.words_of(texts)
+    assert whole[1].tolist() == parts[1].tolist() and whole[4].tolist() == parts[4].tolist() == [2, 0, 1, 2, 1]
+    assert [bytes(parts[0][s:e]) for s, e in zip(parts[2], parts[3], strict=True)] == [b"ab", b"cd", b"e" * 50, b"x", b"y", b"ab"]
+
+
+def test_one_class_of_labels_only(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "c"), (4, "d e f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 1), (4, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: round(r.score, 3) for r in toxicity.toxicity(docs, labels).collect()}
+    assert got == {1: 0.982, 2: 0.018, 3: 0.982, 4: 0.982}
+
+
+def test_languages_beyond_any_number_keep_a_first_document(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "text of language %d" % (i % 250), "l%d" % (i % 250)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 400)
+    got = langid.sample(docs, F.lit(True), "doc_id", "text", "lang")
+    assert len(got) == 400 and len({r.lang for r in got}) == 250
