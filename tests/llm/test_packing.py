@@ -95,3 +95,45 @@ def test_a_table_sorted_by_length_packs_as_well(spark):
         assert len(out) == len(rows)
         at_once = len(best_fit(np.array([r.length for r in out]), 512)[2])
         assert len({r.sequence_id for r in out}) <= 1.03 * at_once + 1
+
+
+def test_counts_pack_as_items_do():
+    from segmill.llm.packing import best_fit_counts
+
+    rng = np.random.default_rng(4)
+    for trial in range(40):
+        capacity = 64
+        sizes = rng.integers(1, capacity + 1, rng.integers(1, 300)) if trial % 2 else rng.choice([7, 20, 33, 40], 200)
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        size, first, items, to_bin, offset = best_fit_counts(counts, capacity)
+        assert sorted((s, f + k) for s, f, n in zip(size, first, items, strict=True) for k in range(n)) == [(s, k) for s in range(capacity + 1) for k in range(counts[s])]
+        spans = defaultdict(list)
+        for s, n, b, o in zip(size, items, to_bin, offset, strict=True):
+            for k in range(n):
+                spans[b + k].append((o, s))
+        for xs in spans.values():
+            at = 0
+            for o, s in sorted(xs):
+                assert o == at
+                at += s
+            assert at <= capacity
+        assert len(spans) == len(best_fit(sizes, capacity)[2])
+
+
+def test_bins_held_back_are_merged(spark, monkeypatch):
+    """Without a place to carry underfull bins up, the last round alone gives what one global best fit gives."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " a" * int(n)) for i, n in enumerate(rng.choice([100, 150, 200, 300, 350], 600))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = pack(df, PATH, capacity=512, group_size=50, carry=0).collect()
+    at_once = len(best_fit(np.array([r.length for r in out]), 512)[2])
+    by = defaultdict(list)
+    for r in out:
+        by[r.sequence_id].append((r.offset, r.length))
+    for xs in by.values():
+        at = 0
+        for o, n in sorted(xs):
+            assert o == at
+            at += n
+        assert at <= 512
+    assert len(out) == 600 and len(by) <= 1.05 * at_once
