@@ -9,13 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trimmed_group
 
 QUERY_BLOCK, ROW_BLOCK = 4096, 16384  # rows of a tile's two sides, about
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosine of each pair of rows in double precision, every sum taken from the first component to the last."""
+    """Cosine of each pair of rows in double precision, every sum taken from the first component to the last.
+
+    Rows are scaled by powers of two first, which changes no digit of the result but keeps squares of huge and tiny components in range.
+    """
+    q, x = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None]) for v in (q, x))
     dot, qq, xx = (np.zeros(len(q)) for _ in range(3))
     for i in range(q.shape[1]):
         dot += q[:, i] * x[:, i]
@@ -26,8 +30,8 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors as int8 codes; each row's scale, the norm of its scaled codes and the norm of what they leave out."""
-    # a first division by the largest component keeps squares of huge and tiny values in range
-    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    # scaled by a power of two first: that keeps squares of huge and tiny values in range
+    unit = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
     scale = np.abs(unit).max(axis=1) / 127
     codes = np.rint(unit / scale[:, None]).astype(np.int8)
@@ -102,7 +106,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     Ties go to the smaller id.  Null and zero vectors and vectors with a null or non-finite component take no part; nor do
     null ids.  Vectors meet only vectors of the same length.  A query with fewer candidates gets them all, one without none has no
-    row.  No row is near a query of its own id; a repeated row counts as often as it stands there.  An empty table gives no rows; other columns are ignored.
+    row.  No row is near a query of its own id.  A repeated query row asks once; a repeated candidate row counts as often as it stands there; a query id with
+    several vectors gets the nearest of all of them.  An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession, "ann")
     v = F.col(vector_col).cast("array<double>")
@@ -116,10 +121,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         df = df.select(F.col("id").alias(f"{own}_id"), F.col("v").alias(f"{own}_v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own))
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
-    queries = dealt(rows.where("q"), "i", query_blocks, "j", row_blocks)
+    queries = dealt(rows.where("q").dropDuplicates(["id", "v"]), "i", query_blocks, "j", row_blocks)
     cands = dealt(rows, "j", row_blocks, "i", query_blocks)
     found = queries.groupBy("i", "j").cogroup(cands.groupBy("i", "j")).applyInPandas(_tile(k), "query_id long, vec_id long, score double")
-    return found.groupBy("query_id").applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")
+    return found.groupBy("query_id").applyInPandas(trimmed_group(_merge(k)), "query_id long, rank int, vec_id long, score double")
 
 
 def op5(vectors: DataFrame) -> DataFrame:

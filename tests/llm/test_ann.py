@@ -48,3 +48,11 @@ def test_repeated_rows(spark):
     rows = [(10, [1.0, 0.0]), (10, [1.0, 0.0]), (11, [1.0, 1.0]), (11, [1.0, 1.0]), (12, [0.0, 1.0])]
     got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=2).collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(10, 1, 11), (10, 2, 11)]
+
+
+def test_extreme_magnitudes_and_queries_asked_twice(spark):
+    rows = [(10, [1e200, 2e200]), (10, [1e200, 2e200]), (11, [3e-200, 6e-200]), (12, [1e300, 0.0]), (13, [1e-300, 1e-300]), (14, [5e-324, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=4).collect()
+    assert [r.rank for r in sorted(got, key=lambda r: r.rank)] == [1, 2, 3, 4] and {r.vec_id for r in got if r.rank > 2} == {12, 14}
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)][:2] == [11, 13]
+    assert np.allclose([r.score for r in sorted(got, key=lambda r: r.rank)], [1, 3 / 10**0.5, 1 / 5**0.5, 1 / 5**0.5])
