@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, trimmed
+
 MARK = "▁"  # stands for a space
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 UNKNOWN_PENALTY = 10.0  # an uncovered character scores this much below the lowest piece
@@ -25,6 +27,7 @@ class Pieces:
     scores: tuple[float, ...]
     types: tuple[int, ...]
     dummy_prefix: bool = True
+    kind: str = "unigram"
 
 
 def _fields(data: bytes):
@@ -54,8 +57,12 @@ def _fields(data: bytes):
 
 
 def read_model(path: str) -> Pieces:
-    """The pieces of a SentencePiece model file.  Its texts must not be normalised beyond spaces (identity rule, spaces kept)."""
-    texts, scores, types, dummy = [], [], [], True
+    """The pieces of a SentencePiece model file.  Its texts must not be normalised beyond spaces (identity rule, spaces kept).
+
+    Scores are taken as they stand.  In a file of kind ``bpe`` they are negated merge ranks, not log probabilities: the segmentation of the greatest
+    sum of such scores is well defined, but is not what the library gives for that file, which merges pairs instead.
+    """
+    texts, scores, types, dummy, kind = [], [], [], True, "unigram"
     with open(path, "rb") as f:
         data = f.read()
     for number, value in _fields(data):
@@ -64,12 +71,14 @@ def read_model(path: str) -> Pieces:
             texts.append(piece[1].decode())
             scores.append(float(np.frombuffer(piece.get(2, b"\0\0\0\0"), "<f4")[0]))
             types.append(piece.get(3, NORMAL))
+        elif number == 2:
+            kind = {1: "unigram", 2: "bpe", 3: "word", 4: "char"}[dict(_fields(value)).get(3, 1)]
         elif number == 3:
             spec = dict(_fields(value))
             dummy = bool(spec.get(3, 1))
             if spec.get(2) or spec.get(4, 1):
                 raise ValueError("only models that keep the text as it is are supported")
-    return Pieces(tuple(texts), tuple(scores), tuple(types), dummy)
+    return Pieces(tuple(texts), tuple(scores), tuple(types), dummy, kind)
 
 
 class DoubleArray:
@@ -318,7 +327,7 @@ def _run(shared):
                 ids = model.encode(part)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 256), pa.array(ids, pa.binary()), pa.array(map(model.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return run
+    return trimmed(run)
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,14 +335,19 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     Spaces become markers, one more is put before the text if the vocabulary says so, and nothing else is changed.
     Characters that no piece covers become their UTF-8 bytes' pieces.  Null and empty text has no ids and decodes to the
-    empty text.  A text that itself holds the marker decodes with a space in its place.  Rows are independent of each other.
+    empty text; very long texts and words are segmented whole; of equal sums the path whose last piece starts first is taken.  A text that itself holds the marker decodes with a space in its place.  Rows are independent of each other.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # one vocabulary, some MB
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_run(shared), "doc_id long, ids binary, decoded string")
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """Digest of the ids and of the round trip."""
+    """Digest of the ids and of the round trip.
+
+    The one public file of pieces is of kind ``bpe``, and tokenizers are not to be trained: its merge ranks serve as the scores, so the ids
+    differ from those that the library gives for the file (:func:`read_model`); decoding gives the text back all the same.
+    """
     import public_tokenizers
 
     coded = encode(docs, read_model(public_tokenizers.path("piece_bpe_32k.model")))

@@ -99,3 +99,12 @@ def test_whole_operator(spark, library):
         if len(t) < 1000 and MARK not in t:
             assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(t)
     assert encode(df.where("doc_id < 0"), read_model(PATH)).count() == 0
+
+
+def test_the_public_file_is_of_another_kind():
+    """Its scores are merge ranks: the library's own ids for it, by merges, are other ones; both decode to the text."""
+    own, pieces = sentencepiece.SentencePieceProcessor(model_file=PATH), read_model(PATH)
+    assert pieces.kind == "bpe" and all(s == int(s) for s, k in zip(pieces.scores, pieces.types, strict=True) if k == NORMAL)
+    text = "the segmentation of ordinary sentences differs"
+    ids = np.frombuffer(Unigram(pieces).encode([text])[0], "<u4").tolist()
+    assert ids != own.encode(text) and own.decode(ids) == text
