@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _C, Scratch, in_chunks, mix64, shingle_sets, whole_text
+from .common import _C, Scratch, in_chunks, mix64, shingle_sets, trimmed, trimmed_group, whole_text
 from .components import components
 
 BANDS, ROWS = 32, 5  # a pair of similarity 0.8 misses every band with probability 3e-6
@@ -165,12 +165,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     5. Components are taken over all links and handed back to classes and documents.
 
     A document with fewer words than ``shingle`` has its whole sequence as its one shingle.  Null or wordless text has no shingle, is linked
-    with nothing and stays.  A row that repeats an id and its text gives one more equal row.  An empty table gives no rows; other columns are ignored.
+    with nothing and stays.  A row that repeats an id and its text gives one more equal row.  An id that stands with several texts is one node: a link of one
+    of its texts is a link of that id.  Very long texts are taken whole; ties do not occur, as ids are ordered.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     base = whole_text(docs, id_col, text_col)
-    sketch = base.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, n long, f1 long, f2 long, keys array<long>")
+    sketch = base.mapInArrow(trimmed(_sketch(shingle, bands, rows)), "doc_id long, n long, f1 long, f2 long, keys array<long>")
     sketch = scratch.write(sketch, "sketch")
     classes = scratch.write(sketch.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
     reps = sketch.select("doc_id", "n", "keys").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.write(banded.join(buckets, "key"), "members")
 
     wanted = members.select("doc_id").distinct()
-    sets = scratch.write(base.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, shingles binary"), "sets")
+    sets = scratch.write(base.join(wanted, "doc_id", "left_semi").mapInArrow(trimmed(_full_sets(shingle)), "doc_id long, shingles binary"), "sets")
     pairs = members.where("doc_id <> pivot").select("doc_id", "pivot", "n").distinct()
     sized = pairs.join(members.select(F.col("doc_id").alias("pivot"), F.col("n").alias("m")).distinct(), "pivot")
     sized = sized.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def side(name: str, blob: str) -> DataFrame:
         return sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(blob))
 
-    links = sized.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+    links = sized.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(_confirm(percent)), "a long, b long")
     links = scratch.write(links, "links")
     first = scratch.write(components(links, scratch, "first"), "first")
 
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         here = F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         rest = rest.select("key", here.alias("t"), "doc_id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
         rest = rest.select("key", "t.i", "t.j", "doc_id", "component", "side").join(sets, "doc_id")
-        more = rest.groupBy("key", "i", "j").applyInPandas(_tile_links(percent), "a long, b long").distinct()
+        more = rest.groupBy("key", "i", "j").applyInPandas(trimmed_group(_tile_links(percent)), "a long, b long").distinct()
         links = scratch.write(links.unionByName(more), "all_links")
         first = scratch.write(components(links, scratch, "second"), "second")
     scratch.drop("sets", "members", "known", "buckets", "pairs")

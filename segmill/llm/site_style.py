@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trimmed
 
 GAMMA = 0.9  # weight of a node's content against its presentation
 LOW = 0.5  # nodes of less importance are noise
@@ -213,7 +213,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     scratch = Scratch(spark, "style")
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    nodes = base.select("url", "html").mapInArrow(_nodes, "host string, path string, style long, content long, page long").distinct()
+    nodes = base.select("url", "html").mapInArrow(trimmed(_nodes), "host string, path string, style long, content long, page long").distinct()
     nodes = scratch.write(nodes.where(~F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/(section|div|p|h[1-6]|ul|ol|li|blockquote|table|tbody|tr|td))*$")), "nodes")
     site = importance(nodes, ["host", "path"])
     web = importance(nodes, ["path"]).select("path", F.col("pages").alias("web_pages"), F.col("importance").alias("web"))
@@ -225,9 +225,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     schema = "page_id long, url string, text string, n_chars long"
     if noise.count() <= shared_limit:
         shared = spark.sparkContext.broadcast({(r.host, r.path) for r in noise.collect()})  # bounded by shared_limit
-        return base.mapInArrow(_texts(shared), schema)
+        return base.mapInArrow(trimmed(_texts(shared)), schema)
     host = F.lower(F.regexp_extract("url", _HOST.pattern, 1))
     mine = base.select("page_id", F.coalesce(host, F.lit("")).alias("host")).distinct().join(noise, "host").groupBy("page_id").agg(F.collect_set("path").alias("drop"))
     shared = spark.sparkContext.broadcast(frozenset())
-    return base.join(mine, "page_id", "left").mapInArrow(_texts(shared), schema)
+    return base.join(mine, "page_id", "left").mapInArrow(trimmed(_texts(shared)), schema)
 
