@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.functions import hashes, text
-from segmill.operators import boundaries, decode, dedup, frames, intervals, queue
-from segmill.params import Options
+from segmill.functions import hashes, images, text
+from segmill.operators import boundaries, decode, dedup, frames, intervals, model, queue
+from segmill.params import Options, valid_number
 from segmill.plans import segments
-from segmill.sources.tables import score_scan
+from segmill.sources.tables import preference, score_log, score_scan
+from segmill.streaming.min_gap import tumbling_counts
 
 END = 720.0  # length of the stand-in videos
 SMART = Options(sensitivity=0.75, min_duration=10.0)
@@ -126,15 +127,21 @@ def hamming_pairs(spark, sf_dir):
 
 
 def dct_8x8(spark, sf_dir):
-    """Both basis products as joins with a table of 64 rows."""
-    from math import cos, pi, sqrt
+    out = images.coefficients(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return out.select("vec_id", "u", "v", (F.round("coef", 6) + 0.0).alias("coef"))
 
-    basis = spark.createDataFrame([(k, x, sqrt((1 if k == 0 else 2) / 8) * cos((2 * x + 1) * k * pi / 16)) for k in range(8) for x in range(8)], "k int, x int, w double")
-    cells = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).where("pos < 64")
-    rows = basis.select(F.col("k").alias("u"), F.col("x").alias("i"), F.col("w").alias("wu"))
-    cols = basis.select(F.col("k").alias("v_"), F.col("x").alias("j"), F.col("w").alias("wv"))
-    both = cells.withColumn("i", F.floor(F.col("pos") / 8).cast("int")).withColumn("j", F.col("pos") % 8).join(F.broadcast(rows), "i").join(F.broadcast(cols), "j")
-    return both.groupBy("vec_id", F.col("u").cast("long").alias("u"), F.col("v_").cast("long").alias("v")).agg((F.round(F.sum(F.col("v").cast("double") * F.col("wu") * F.col("wv")), 6) + 0.0).alias("coef"))
+
+def pictures(spark, sf_dir) -> DataFrame:
+    """Embeddings as frames of 16 x 16 pixels: component k mod 64 gives pixel k; red grows with it, green falls, blue is half of red."""
+    shade = F.transform(F.slice("embedding", 1, 64), lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 1) * 127.5))).cast("int"))
+    code = F.transform(shade, lambda s: F.concat(F.lpad(F.hex(s), 2, "0"), F.lpad(F.hex(255 - s), 2, "0"), F.lpad(F.hex(F.floor(s / 2).cast("int")), 2, "0")))
+    data = F.unhex(F.repeat(F.array_join(code, ""), F.lit(4)))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("video_id"), F.lit(0).cast("long").alias("idx"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit("rgb24").alias("mode"), data.alias("data"))
+
+
+def picture_prints(spark, sf_dir):
+    """Grey, bicubic resize, low frequencies and bits of the picture hash; resize, levels and bits of the colour hash."""
+    return images.fingerprints(pictures(spark, sf_dir))
 
 
 def score_islands(spark, sf_dir):
@@ -182,9 +189,7 @@ def text_readings(spark, sf_dir):
 
 
 def channel_hist(spark, sf_dir):
-    cells = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
-    level = F.least(F.lit(7), F.greatest(F.lit(0), F.floor((F.col("v").cast("double") + 1) * 4)))
-    return cells.groupBy("label", (F.col("pos") % 3).cast("long").alias("channel"), level.cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return images.histograms(pictures(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
 def capacity_q(spark, sf_dir):
@@ -199,8 +204,119 @@ def run_metrics(spark, sf_dir):
     return out.select("video_id", "stamps", "tasks", "millis", F.round(intervals.filter_rate(F.col("tasks"), F.col("stamps")), 6).alias("rate"))
 
 
+def _files(spark, sf_dir) -> DataFrame:
+    """Orders as files: two of three are .mp4, in either case of letters."""
+    suffix = F.element_at(F.array(F.lit(".mp4"), F.lit(".MP4"), F.lit(".webm")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("/in/o"), F.col("o_orderkey").cast("string"), suffix).alias("path"), F.col("o_orderdate").alias("modificationTime"))
+
+
 def newest_order(spark, sf_dir):
-    return read(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1).select("o_orderkey")
+    return queue.newest(_files(spark, sf_dir)).select("path")
+
+
+def intake_q(spark, sf_dir):
+    return queue.intake(_files(spark, sf_dir).withColumnRenamed("o_orderkey", "pos"))
+
+
+def still_queued(spark, sf_dir):
+    """Done customers' orders, as long as the customer is in the queue (here: of the first market segments)."""
+    c = read(spark, sf_dir, "customer").where("c_mktsegment < 'C'").select(F.col("c_custkey").alias("o_custkey"))
+    return queue.still_queued(read(spark, sf_dir, "orders"), c, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+def encoder_q(spark, sf_dir):
+    """Per nation: the working encoder of the highest priority, suppliers standing in for encoders; and the tool found first."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("encoder"), F.col("s_suppkey").alias("priority"), (F.col("s_acctbal") > 5000).alias("works"))
+    tools = s.select((F.col("priority") % 3).alias("level"), F.col("priority").alias("candidate"), F.col("encoder").alias("path"))
+    found = queue.first_existing(tools, s.where("works").select(F.col("encoder").alias("path")), "ffmpeg").withColumnRenamed("path", "tool")
+    last = queue.last_existing_line(s.select(F.col("priority").alias("line_no"), F.col("encoder").alias("line")), s.where("not works").select(F.col("encoder").alias("path"))).withColumnRenamed("path", "last")
+    return queue.encoder_choice(s).crossJoin(found).crossJoin(last)  # one row each
+
+
+def text_checks(spark, sf_dir):
+    """Contains, number, range and blank checks, first error lines, names and messages, over texts made from orders."""
+    k = F.col("o_orderkey")
+    number = F.concat((k % 7 - 3).cast("string"), F.lit(".5"))
+    whole = F.concat(F.lit(" "), (k % 20).cast("string"), F.lit(" "))
+    lines = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.when((k + i) % 4 == 0, " ").otherwise(F.concat(F.lit("e"), i.cast("string"))))
+    link = F.when(k % 3 == 0, F.lit("see HTTP://x")).otherwise(F.lit("none"))
+    engine = F.element_at(F.array(F.lit("content"), F.lit("adaptive"), F.lit("precise"), F.lit("?")), (k % 4 + 1).cast("int"))
+    wish = F.element_at(F.array(F.lit("auto"), F.lit("zh"), F.lit("en")), (k % 3 + 1).cast("int"))
+    system = F.when(k % 2 == 0, "ZH").otherwise("fr")
+    log = F.concat(F.lit("Duration: 00:01:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(", start"))
+    return read(spark, sf_dir, "orders").select(
+        "o_orderkey", text.has_link(link).alias("link"), text.positive(number).alias("positive"), valid_number(whole, 1, 16, whole=True).alias("threads"),
+        text.is_blank(F.repeat(F.lit(" "), (k % 3).cast("int"))).alias("blank"), text.is_blank(F.when(k % 5 > 0, " x")).alias("missing"), text.error_text(lines).alias("errors"),
+        text.engine_name(engine).alias("engine"), text.language(wish, system).alias("lang"), preference(F.concat(F.lit(" "), F.upper(wish), F.lit("\n"))).alias("setting"),
+        text.formatted(F.lit("{0} of {1} done, {0}"), k % 9, F.col("o_custkey")).alias("message"), text.duration(F.when(k % 2 == 0, number), log).alias("seconds"),
+    )
+
+
+def log_scores(spark, sf_dir):
+    """Score log lines made from the timeline, every third of another kind."""
+    kind = F.when(F.col("event_id") % 3 == 0, "[showinfo] n:1 pts_time:").otherwise(F.when(F.col("event_id") % 3 == 1, "[showinfo] pts:").otherwise("[other] pts_time:"))
+    whole = F.floor("pts_time").cast("long").cast("string")
+    lines = timeline(spark, sf_dir).select("event_id", F.concat(kind, whole, F.lit(".25 x")).alias("value"))
+    return score_log(lines).select("event_id", "pts_time")
+
+
+def frame_fallback(spark, sf_dir):
+    """Frames from the batch lookup (every second frame can be read there), else from the single one."""
+    t = timeline(spark, sf_dir)
+    fr = t.select("video_id", "pts_time", "event_id")
+    wanted = t.select("video_id", F.col("event_id").alias("idx"), F.col("pts_time").alias("t"))
+    batch = frames.first_frame_after(wanted, fr.where("event_id % 2 = 0"), "event_id")
+    single = frames.first_frame_after(wanted, fr.where("event_id % 3 > 0"), "event_id")
+    return frames.with_fallback(wanted, batch, single, "event_id").select("video_id", "idx", F.col("event_id").alias("frame"))
+
+
+def thumbnails_q(spark, sf_dir):
+    t = timeline(spark, sf_dir)
+    videos = t.select("video_id").distinct()
+    moved = t.select("video_id", (F.col("pts_time") / 100).alias("pts_time"), "event_id")
+    return frames.thumbnails(videos, moved, "event_id").select("video_id", F.col("event_id").alias("frame"))
+
+
+def _shades(spark, sf_dir) -> DataFrame:
+    """The timeline's frames at the model's size, each of one shade."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("video_id").orderBy("pts_time", "event_id")).cast("long") - 1
+    rgb = F.unhex(F.repeat(F.lpad(F.hex(F.floor(F.col("scene") * 250).cast("int")), 2, "0"), F.lit(model.HEIGHT * model.WIDTH * 3)))
+    return timeline(spark, sf_dir).select(F.col("video_id").cast("string").alias("video_id"), n.alias("frame_no"), rgb.alias("rgb"))
+
+
+def _first_pixel():
+    """A fixed scorer in place of a model: the first pixel's red, in the shape [1, frames, 1]."""
+    return lambda x: x[:, :, 0, 0, :1]
+
+
+def model_scores(spark, sf_dir):
+    out = model.score_frames(_shades(spark, sf_dir), _first_pixel)
+    return out.select("video_id", "frame_no", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
+def model_cuts(spark, sf_dir):
+    return model.detect(_shades(spark, sf_dir), _first_pixel, threshold=0.5, fps=10.0)
+
+
+def tumbling(spark, sf_dir):
+    out = tumbling_counts(read(spark, sf_dir, "events"), width="1 day")
+    return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def folders(spark, sf_dir):
+    """Output folders of files in a folder, right under the root, and bare names."""
+    base = F.concat(F.lit("a"), F.col("p_partkey").cast("string"), F.lit(".mp4"))
+    path = F.concat(F.element_at(F.array(F.lit(""), F.lit("/"), F.lit("/x/y/"), F.lit("C:\\v\\")), (F.col("p_partkey") % 4 + 1).cast("int")), base)
+    return read(spark, sf_dir, "part").select("p_partkey", text.directory(path).alias("folder"), intervals.output_dir(path).alias("out"))
+
+
+def many_links(spark, sf_dir):
+    """Texts with several links: marks at their ends, repeats in other letters, quotes."""
+    u = F.col("url")
+    body = F.concat(F.lit("see "), u, F.lit(",; "), F.upper(F.substring(u, 1, 0)), F.regexp_replace(u, "^http://www", "http://WWW"), F.lit(', "'), u, F.lit("?x=1\" <"), u, F.lit("?x=2>;"))
+    return text.distinct_links(read(spark, sf_dir, "pages").select("page_id", body.alias("body")), "page_id", "body").select("page_id", F.col("pos").cast("long").alias("pos"), "url")
 
 
 def queue_left(spark, sf_dir):
@@ -229,6 +345,8 @@ def queries() -> dict:
         "task_names": task_names, "near_anti_join": near_anti_join, "neighbours": neighbours, "mean_bits_hash": mean_bits_hash, "hamming_pairs": hamming_pairs,
         "dct_8x8": dct_8x8, "score_islands": score_islands, "cut_spacing": cut_spacing, "model_windows": model_windows, "frame_batches": frame_batches,
         "frame_lookup": frame_lookup, "url_clean": url_clean, "text_readings": text_readings, "channel_hist": channel_hist, "capacity": capacity_q,
+        "picture_prints": picture_prints, "intake": intake_q, "still_queued": still_queued, "encoder": encoder_q, "text_checks": text_checks, "log_scores": log_scores,
+        "frame_fallback": frame_fallback, "thumbnails": thumbnails_q, "model_scores": model_scores, "model_cuts": model_cuts, "tumbling": tumbling, "folders": folders, "many_links": many_links,
         "run_metrics": run_metrics, "newest_order": newest_order, "queue_left": queue_left, "localised_status": localised_status, "detector_rules": detector_rules,
     }
 
@@ -280,13 +398,21 @@ _RULE = """r AS (SELECT video_id, CAST(0 AS BIGINT) AS i, false AS open, CAST(0
         FROM r JOIN cand k ON k.video_id = r.video_id AND k.i = r.i + 1)),
     segs AS (SELECT r.video_id, r.seg, min(k.t) AS t, sum(k.dur) AS dur, count(*) AS parts FROM r JOIN cand k USING (video_id, i) WHERE r.act IN ('new', 'merge') GROUP BY 1, 2)"""
 _SMART = [*_PRIMARY, *_head("primary_"), _PIECES,
-    "cand AS (SELECT x.video_id, row_number() OVER (PARTITION BY x.video_id ORDER BY x.t) AS i, x.t, x.dur, f.p, f.c FROM (SELECT * FROM pieces WHERE dur >= 0.5) x JOIN LATERAL (SELECT tl.p, tl.c FROM tl WHERE tl.video_id = x.video_id AND tl.t >= x.t ORDER BY tl.t, tl.scene, tl.p LIMIT 1) f ON true)", _RULE]
+    "cand AS (SELECT x.video_id, row_number() OVER (PARTITION BY x.video_id ORDER BY x.t) AS i, x.t, x.dur, f.p, f.c FROM (SELECT * FROM pieces WHERE dur >= 0.5) x JOIN LATERAL (SELECT tl.p, tl.c FROM tl WHERE tl.video_id = x.video_id AND tl.t >= x.t AND tl.t < x.t + 0.2 ORDER BY tl.t, tl.scene, tl.p LIMIT 1) f ON true)", _RULE]
 _FRAMES = "fr AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS i, scene AS score FROM tl)"
 _ISLANDS = [_FRAMES, "ab AS (SELECT video_id, i, i - row_number() OVER (PARTITION BY video_id ORDER BY i) AS g FROM fr WHERE score >= 0.1)", "isl AS (SELECT video_id, min(i) AS first_i, max(i) AS last_i, (min(i) + max(i)) // 2 AS centre FROM ab GROUP BY video_id, g)"]
 _BITS = "h AS (SELECT vec_id, label, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN CAST(e[i + 1] AS DOUBLE) > m THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END)) - CASE WHEN CAST(e[64] AS DOUBLE) > m THEN CAST(9223372036854775808 AS HUGEINT) ELSE 0 END AS p FROM (SELECT vec_id, label, embedding AS e, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / 64 AS m FROM embeddings))"
 _SLICES = "sl AS (SELECT video_id, k AS seg, k * 60.0 AS t, least(60.0, d - k * 60.0) AS dur FROM (SELECT video_id, max(t) AS d FROM tl GROUP BY 1), LATERAL (SELECT unnest(range(0, CAST(ceil(d / 60.0) AS BIGINT))) AS k))"
 
 
+_PIXELS = """px AS (SELECT video_id, pos, s AS r, 255 - s AS g, s // 2 AS b FROM (SELECT vec_id AS video_id, p AS pos, CAST(least(255, greatest(0, floor((CAST(embedding[p % 64 + 1] AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS s FROM embeddings, range(256) z(p)))"""
+#: Low frequencies of a side of 16 pixels made 32 by cubic weights (a = -0.5, edges repeated): basis(k, x, w).
+_CUBIC = """tap AS (SELECT i, least(15, greatest(0, j)) AS x, CASE WHEN d <= 1 THEN 1.5 * d ** 3 - 2.5 * d ** 2 + 1 WHEN d < 2 THEN -0.5 * d ** 3 + 2.5 * d ** 2 - 4 * d + 2 ELSE 0 END AS w
+        FROM (SELECT i, j, abs(j - ((i + 0.5::DOUBLE) / 2 - 0.5)) AS d FROM range(32) a(i), range(-4, 20) c(j))),
+    basis AS (SELECT k, x, sum(CASE WHEN k = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END * cos((2 * i + 1) * k * pi() / 64) * w / t) AS w FROM tap JOIN (SELECT i, sum(w) AS t FROM tap GROUP BY 1) USING (i), range(8) z(k) GROUP BY 1, 2)"""
+_FILES = "f AS (SELECT o_orderkey, o_orderdate, s, concat('/in/o', o_orderkey, s) AS path FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MP4' ELSE '.webm' END AS s FROM orders))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "score_scan": _with(["x AS (SELECT 1)"], "SELECT video_id, count(*) AS n, min(t) AS first_t FROM tl WHERE scene > 0.25 AND t >= 0 AND t < 200 GROUP BY 1"),
@@ -320,14 +446,45 @@ def oracle_sql() -> dict[str, str]:
         "url_clean": r"""SELECT page_id, CAST(0 AS BIGINT) AS pos, rtrim(regexp_extract(url, 'https?://[^\s"''<>]+'), ',;') AS url FROM pages""",
         "text_readings": """SELECT o_orderkey, CAST((o_orderkey % 24) * 3600 + (o_custkey % 60) * 60 + (o_orderkey % 60) + 0.5 AS DOUBLE) AS seconds, CAST(o_orderkey % 1000 AS DOUBLE) / 10 AS pct,
             o_orderkey % 2 = 0 AS video, CASE WHEN o_orderkey % 2 = 0 THEN 'MP4' ELSE 'WEBM' END AS ext, o_orderstatus AS stem, '/in' AS folder FROM orders""",
-        "channel_hist": """SELECT label, pos % 3 AS channel, CAST(least(7, greatest(0, floor((CAST(v AS DOUBLE) + 1) * 4))) AS BIGINT) AS level, count(*) AS n
-            FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1, 2, 3""",
+        "channel_hist": f"""WITH {_PIXELS}, n AS (SELECT video_id, channel, level, count(*) AS n FROM (SELECT video_id, unnest([0, 1, 2]) AS channel, unnest([r, g, b]) // 32 AS level FROM px) GROUP BY 1, 2, 3)
+            SELECT CAST(v.vec_id AS VARCHAR) AS video_id, CAST(0 AS BIGINT) AS idx, CAST(c AS BIGINT) AS channel, CAST(l AS BIGINT) AS level, CAST(coalesce(n, 0) AS BIGINT) AS n, round(coalesce(n, 0) / 768.0::DOUBLE, 9) AS share
+            FROM embeddings v, range(3) a(c), range(8) d(l) LEFT JOIN n ON n.video_id = v.vec_id AND n.channel = c AND n.level = l""",
+        "picture_prints": f"""WITH {_PIXELS}, {_CUBIC},
+            coef AS (SELECT video_id, u.k AS u, v.k AS v, sum((0.299 * r + 0.587 * g + 0.114 * b) / 255 * u.w * v.w) AS z FROM px JOIN basis u ON u.x = pos // 16 JOIN basis v ON v.x = pos % 16 GROUP BY 1, 2, 3),
+            mean AS (SELECT video_id, avg(z) AS m FROM coef GROUP BY 1),
+            p AS (SELECT video_id, sum(CASE WHEN z > m THEN CASE WHEN u * 8 + v = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(CAST(1 AS BIGINT) << CAST(u * 8 + v AS INTEGER) AS HUGEINT) END ELSE 0 END) AS p FROM coef JOIN mean USING (video_id) GROUP BY 1),
+            n AS (SELECT video_id, channel, level, count(*) AS n FROM (SELECT video_id, unnest([0, 1, 2]) AS channel, unnest([r, g, b]) // 32 AS level FROM px) GROUP BY 1, 2, 3),
+            c AS (SELECT video_id, sum(CASE WHEN n > 32 THEN 1 << CAST(channel * 8 + level AS INTEGER) ELSE 0 END) AS c FROM n GROUP BY 1)
+            SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(0 AS BIGINT) AS idx, CAST(p AS BIGINT) AS p, CAST(c AS BIGINT) AS c FROM p JOIN c USING (video_id)""",
+        "intake": f"""WITH {_FILES} SELECT o_orderkey AS pos, path, concat('o', o_orderkey, s) AS name, 'MP4' AS ext FROM f WHERE o_orderkey % 3 < 2""",
+        "still_queued": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment < 'C')",
+        "encoder": """SELECT coalesce((SELECT s_name FROM supplier WHERE s_acctbal > 5000 ORDER BY s_suppkey LIMIT 1), 'libx264') AS encoder,
+            coalesce((SELECT s_name FROM supplier WHERE s_acctbal > 5000 ORDER BY s_suppkey % 3, s_suppkey LIMIT 1), 'ffmpeg') AS tool, (SELECT s_name FROM supplier WHERE NOT s_acctbal > 5000 ORDER BY s_suppkey DESC LIMIT 1) AS last""",
+        "text_checks": f"""WITH k AS (SELECT o_orderkey, o_custkey, o_orderkey AS k, o_orderkey % 7 - 3 + CASE WHEN o_orderkey % 7 < 3 THEN -0.5 ELSE 0.5 END AS num FROM orders)
+            SELECT o_orderkey, k % 3 = 0 AS link, CAST(CASE WHEN num > 0 THEN num END AS DOUBLE) AS positive, CAST(CASE WHEN k % 20 BETWEEN 1 AND 16 THEN k % 20 END AS INTEGER) AS threads, true AS blank, k % 5 = 0 AS missing,
+            array_to_string(list_transform(list_filter(range(1, 26), lambda i: (k + i) % 4 <> 0)[1:20], lambda i: concat('e', i)), chr(10)) AS errors,
+            CASE k % 4 WHEN 1 THEN '{text.ENGINES["adaptive"]}' WHEN 2 THEN '{text.ENGINES["precise"]}' ELSE '{text.ENGINES["content"]}' END AS engine,
+            CASE WHEN k % 3 = 1 THEN 'zh' WHEN k % 3 = 2 THEN 'en' WHEN k % 2 = 0 THEN 'zh' ELSE 'en' END AS lang, CASE k % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'zh' ELSE 'en' END AS setting,
+            concat(k % 9, ' of ', o_custkey, ' done, ', k % 9) AS message, CAST(CASE WHEN k % 2 = 0 AND num > 0 THEN num ELSE 60 + k % 60 END AS DOUBLE) AS seconds FROM k""",
+        "log_scores": _with(["x AS (SELECT 1)"], "SELECT event_id, floor(t) + 0.25 AS pts_time FROM tl WHERE event_id % 3 = 0"),
+        "frame_fallback": _with(["w AS (SELECT video_id, event_id AS idx, greatest(0, t) AS s FROM tl)"], """SELECT w.video_id, w.idx, coalesce(
+            (SELECT arg_min(event_id, t) FROM tl WHERE event_id % 2 = 0 AND tl.video_id = w.video_id AND tl.t >= w.s AND tl.t < w.s + 0.2),
+            (SELECT arg_min(event_id, t) FROM tl WHERE event_id % 3 > 0 AND tl.video_id = w.video_id AND tl.t >= w.s AND tl.t < w.s + 0.2)) AS frame FROM w"""),
+        "thumbnails": _with(["m AS (SELECT video_id, event_id, t / 100 AS t FROM tl)"], """SELECT v.video_id, coalesce((SELECT arg_min(event_id, t) FROM m WHERE m.video_id = v.video_id AND m.t >= 1.0 AND m.t < 1.0 + 0.2),
+            (SELECT arg_min(event_id, t) FROM m WHERE m.video_id = v.video_id AND m.t >= 0.1 AND m.t < 0.1 + 0.2)) AS frame FROM vid v"""),
+        "model_scores": _with([_FRAMES], "SELECT CAST(video_id AS VARCHAR) AS video_id, i AS frame_no, round(CAST(CAST(CAST(floor(score * 250) AS FLOAT) / CAST(255 AS FLOAT) AS FLOAT) AS DOUBLE), 6) AS score FROM fr"),
+        "model_cuts": _with(["fr AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) - 1 AS i, CAST(CAST(floor(scene * 250) AS FLOAT) / CAST(255 AS FLOAT) AS DOUBLE) AS score FROM tl)", *(x.replace("score >= 0.1", "score >= 0.5") for x in _ISLANDS[1:]),
+            "s AS (SELECT video_id, CAST(centre AS DOUBLE) / 10 AS t FROM isl WHERE CAST(centre AS DOUBLE) / 10 > 0.05)", _greedy("k", "s", 0.25, ">", False)], "SELECT CAST(video_id AS VARCHAR) AS video_id, t FROM k"),
+        "tumbling": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+        "folders": r"""SELECT p_partkey, f AS folder, concat(CASE WHEN f = '/x/y' OR f = 'C:\v' THEN concat(f, '/') ELSE f END, 'a', p_partkey, '_Scenes') AS out
+            FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/' WHEN 2 THEN '/x/y' ELSE 'C:\v' END AS f FROM part)""",
+        "many_links": "SELECT page_id, CAST(k AS BIGINT) AS pos, CASE k WHEN 0 THEN url ELSE concat(url, '?x=', k) END AS url FROM pages, range(3) a(k)",
         "capacity": """WITH x AS (SELECT c_custkey, c_custkey % 33 AS cores, c_custkey % 65 AS gb, c_nationkey % 2 = 0 AS hw FROM customer),
             y AS (SELECT *, least(greatest(1, cores // 2), CASE WHEN gb <= 0 THEN 4 WHEN gb < 8 THEN 1 WHEN gb < 12 THEN 2 WHEN gb < 16 THEN 3 WHEN gb < 32 THEN 6 ELSE 16 END) AS n FROM x)
             SELECT c_custkey, CAST(greatest(1, CASE WHEN hw THEN least(n, CASE WHEN gb >= 32 THEN 5 ELSE 3 END) ELSE n END) AS BIGINT) AS n FROM y""",
         "run_metrics": _with(_SMART, """SELECT video_id, s.n AS stamps, g.n AS tasks, g.millis, round((1 - g.n / greatest(1, s.n)) * 100, 6) AS rate FROM (SELECT video_id, count(*) AS n FROM stamps GROUP BY 1) s
             JOIN (SELECT video_id, count(*) AS n, CAST(sum(CAST(round(round(dur, 3) * 1000) AS BIGINT)) AS BIGINT) AS millis FROM segs GROUP BY 1) g USING (video_id)"""),
-        "newest_order": "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1",
+        "newest_order": f"WITH {_FILES} SELECT path FROM f WHERE o_orderkey % 3 < 2 ORDER BY o_orderdate DESC, path LIMIT 1",
         "queue_left": "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
         "localised_status": "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN '进行中' WHEN 'F' THEN '完成' ELSE o_orderstatus END AS text FROM orders",
         "detector_rules": "SELECT *, greatest(0.5, gap * 0.5) AS near FROM (SELECT l_orderkey, l_linenumber, round(greatest(0, least(1, 1 - l_discount * 10)), 3) AS t, greatest(1, least(600, l_quantity * 20 - 50)) AS gap FROM lineitem)",

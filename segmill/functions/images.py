@@ -100,3 +100,38 @@ def fingerprints(frames: DataFrame) -> DataFrame:
     """
     cols = [F.col("video_id").cast("string"), F.col("idx").cast("long"), *(F.col(c) for c in ("height", "width", "mode", "data"))]
     return frames.select(*cols).mapInArrow(_fingerprints, "video_id string, idx long, p long, c long")
+
+
+def histograms(frames: DataFrame) -> DataFrame:
+    """video_id, idx, channel (0 red, 1 green, 2 blue), level, n, share of frames that can be read: 24 rows a frame, shares of all three channels add up to 1."""
+
+    def run(batches):
+        for b in batches:
+            keys, counts = [], []
+            for v, i, data, h, w, mode in zip(*(b.column(k).to_pylist() for k in ("video_id", "idx", "data", "height", "width", "mode")), strict=True):
+                if data is not None and h and w and len(data) >= h * w * 3:
+                    keys.append((v, i))
+                    counts.append(histogram(pixels(data, h, w, mode or "rgb24")))
+            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            total = np.repeat([c.sum() for c in counts], 24) if counts else np.ones(0)
+            at = np.tile(np.arange(24), len(keys))
+            cols = [pa.array([k[0] for k in keys for _ in range(24)], pa.string()), pa.array([k[1] for k in keys for _ in range(24)], pa.int64()), pa.array(at // 8), pa.array(at % 8), pa.array(n), pa.array(n / total)]
+            yield pa.RecordBatch.from_arrays(cols, ["video_id", "idx", "channel", "level", "n", "share"])
+
+    cols = [F.col("video_id").cast("string"), F.col("idx").cast("long"), *(F.col(c) for c in ("height", "width", "mode", "data"))]
+    return frames.select(*cols).mapInArrow(run, "video_id string, idx long, channel long, level long, n long, share double")
+
+
+def coefficients(rows: DataFrame, id_col: str, values_col: str, side: int = 8, low: int = 8) -> DataFrame:
+    """id, u, v, coef: the low frequencies of square pictures given as arrays of side * side values.  No shuffle: a fold inside each row."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            values = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, side, side) if b.num_rows else np.zeros((0, side, side))
+            coef = dct_basis(side, low) @ values @ dct_basis(side, low).T
+            at = np.tile(np.arange(low * low), len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(b.column(0).to_pylist(), object), low * low), b.schema.field(0).type), pa.array(at // low), pa.array(at % low), pa.array(coef.ravel())], [id_col, "u", "v", "coef"])
+
+    cells = rows.select(id_col, F.slice(values_col, 1, side * side).alias("cells")).where(F.size("cells") == side * side)
+    return cells.mapInArrow(run, f"{id_col} {kind}, u long, v long, coef double")

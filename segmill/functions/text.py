@@ -40,7 +40,8 @@ def file_name(path: Column) -> Column:
 
 
 def directory(path: Column) -> Column:
-    return F.regexp_replace(path, r"[/\\][^/\\]*$", "")
+    """The folder of a path: empty for a bare name, the separator itself for a file right under the root."""
+    return F.when(path.rlike(r"^[/\\][^/\\]*$"), F.substring(path, 1, 1)).otherwise(F.regexp_extract(path, r"^(.*)[/\\][^/\\]*$", 1))
 
 
 def stem(path: Column) -> Column:

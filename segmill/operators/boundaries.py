@@ -70,20 +70,20 @@ def range_anti_join(left: DataFrame, right: DataFrame, key: str, time: str, dist
     an equi join even within one very long timeline.
     """
     width = F.lit(float(distance))
-    a = left.withColumn("_bucket", F.floor(F.col(time) / width))
-    b = right.select(F.col(key), F.col(time).alias("_time")).withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_time") / width) + d)))
-    on = (a[key] == b[key]) & (a["_bucket"] == b["_bucket"]) & (F.abs(a[time] - b["_time"]) < distance)
-    return a.join(b, on, "left_anti").drop("_bucket")
+    a = left.withColumn("__bucket", F.floor(F.col(time) / width))
+    b = right.select(F.col(key), F.col(time).alias("__time")).withColumn("__bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("__time") / width) + d)))
+    on = (a[key] == b[key]) & (a["__bucket"] == b["__bucket"]) & (F.abs(a[time] - b["__time"]) < distance)
+    return a.join(b, on, "left_anti").drop("__bucket")
 
 
 def neighbours(points: DataFrame, marks: DataFrame, key: str, time: str) -> DataFrame:
     """Each point's previous mark (0 by default) and next mark (infinity by default): an as-of join both ways, by windows over a union."""
-    both = points.select(key, time, F.lit(1).alias("_point")).unionByName(marks.select(key, time, F.lit(0).alias("_point")))
-    mark = F.when(F.col("_point") == 0, F.col(time))
+    both = points.select(key, time, F.lit(1).alias("__point")).unionByName(marks.select(key, time, F.lit(0).alias("__point")))
+    mark = F.when(F.col("__point") == 0, F.col(time))
     w = Window.partitionBy(key)
-    before = F.max(mark).over(w.orderBy(time, F.desc("_point")).rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(mark).over(w.orderBy(time, "_point").rowsBetween(1, Window.unboundedFollowing))
-    return both.withColumn("previous", F.coalesce(before, F.lit(0.0))).withColumn("next", F.coalesce(after, F.lit(float("inf")))).where("_point = 1").drop("_point")
+    before = F.max(mark).over(w.orderBy(time, F.desc("__point")).rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(mark).over(w.orderBy(F.desc(time), F.desc("__point")).rowsBetween(Window.unboundedPreceding, -1))  # a frame that grows costs one step per row
+    return both.withColumn("previous", F.coalesce(before, F.lit(0.0))).withColumn("next", F.coalesce(after, F.lit(float("inf")))).where("__point = 1").drop("__point")
 
 
 def long_min_gap(rows: DataFrame, key: str, time: str, gap: float, strict: bool = True, zero: bool = True) -> DataFrame:

@@ -15,10 +15,10 @@ def first_frame_after(wanted: DataFrame, frames: DataFrame, value: str, reach: f
     join on video and bucket; the first frame is kept by an aggregation, so no video has to fit in one task.
     """
     start = F.greatest(F.lit(0.0), F.col("t"))
-    ask = wanted.withColumn("_b", F.explode(F.array(F.floor(start / reach), F.floor(start / reach) + 1)))
-    give = frames.select(F.col("video_id"), F.col("pts_time").alias("_pts"), F.col(value).alias("_value"), F.floor(F.col("pts_time") / reach).alias("_b"))
-    hit = (F.col("_pts") >= start) & (F.col("_pts") < start + reach)
-    found = ask.join(give, ["video_id", "_b"]).where(hit).groupBy("video_id", "idx").agg(F.min_by("_value", "_pts").alias(value))
+    ask = wanted.withColumn("__b", F.explode(F.array(F.floor(start / reach), F.floor(start / reach) + 1)))
+    give = frames.select(F.col("video_id"), F.col("pts_time").alias("__pts"), F.col(value).alias("__value"), F.floor(F.col("pts_time") / reach).alias("__b"))
+    hit = (F.col("__pts") >= start) & (F.col("__pts") < start + reach)
+    found = ask.join(give, ["video_id", "__b"]).where(hit).groupBy("video_id", "idx").agg(F.min_by("__value", "__pts").alias(value))
     return wanted.join(found, ["video_id", "idx"], "left")
 
 

@@ -41,8 +41,9 @@ def scene_name(seg: Column, t: Column) -> Column:
 
 
 def output_dir(path: Column) -> Column:
-    """A folder beside the source, named after it."""
-    return F.concat(directory(path), F.lit("/"), stem(path), F.lit("_Scenes"))
+    """A folder beside the source, named after it; for a bare name, in the working folder."""
+    folder = directory(path)
+    return F.concat(folder, F.when((folder == "") | folder.rlike(r"[/\\]$"), "").otherwise("/"), stem(path), F.lit("_Scenes"))
 
 
 def cut_command(path: Column, out: Column, t: Column, dur: Column, mute: bool, encoder: Column, hardware: Column) -> Column:

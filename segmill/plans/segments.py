@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segmill.operators import boundaries as B
 from segmill.operators.dedup import merge_drop_new
+from segmill.operators.frames import REACH
 from segmill.operators.intervals import intervals, long_enough, scene_name
 from segmill.params import Options
 
@@ -48,12 +49,13 @@ def stamps(grouped: DataFrame, o: Options, head: bool | None = None) -> DataFram
 def smart_segments(scores: DataFrame, duration: Column, o: Options, p: str = "p", c: str = "c", key: str = "video_id", head: bool | None = None) -> DataFrame:
     """key, seg, t, dur, parts, name: cuts, intervals, then the merge/drop/new rule on each interval's first frame.
 
-    ``scores``: key, pts_time, scene, and the frame's two hashes.  An interval's frame is the first at or after its start.
+    ``scores``: key, pts_time, scene, and the frame's two hashes.  An interval's frame is the first within REACH seconds from its start;
+    an interval without one is skipped.
     """
     grouped = stamps(marks(scores, p, c, key=key), o, head)
     pieces = grouped.withColumn("pieces", long_enough(intervals(F.col("stamps"), duration)))
 
-    hashed = F.transform("pieces", lambda x: F.struct(x["t"].alias("t"), x["dur"].alias("dur"), F.try_element_at(F.filter("marks", lambda m: m["pts_time"] >= x["t"]), F.lit(1)).alias("f")))
+    hashed = F.transform("pieces", lambda x: F.struct(x["t"].alias("t"), x["dur"].alias("dur"), F.try_element_at(F.filter("marks", lambda m: (m["pts_time"] >= x["t"]) & (m["pts_time"] < x["t"] + REACH)), F.lit(1)).alias("f")))
     cands = F.transform(hashed, lambda x: F.struct(x["t"].alias("t"), x["dur"].alias("dur"), x["f"][p].alias("p"), x["f"][c].alias("c")))
     out = pieces.select(key, F.posexplode(merge_drop_new(cands)).alias("seg", "s"))
     return out.select(key, F.col("seg").cast("long").alias("seg"), "s.t", "s.dur", "s.parts", scene_name(F.col("seg"), F.col("s.t")).alias("name"))

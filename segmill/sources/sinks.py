@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def write_tasks(tasks: DataFrame, path: str, threads: int = 3) -> dict:
-    """Writes segments partitioned by video with at most ``threads`` writers, and returns run metrics of the same pass."""
+    """Writes segments partitioned by video with at most ``threads`` writers (the stage before keeps its own tasks), and returns run metrics of the same pass."""
     seen = Observation("tasks")
     watched = tasks.observe(seen, F.count(F.lit(1)).alias("tasks"), F.coalesce(F.sum("dur"), F.lit(0.0)).alias("seconds"))
-    watched.coalesce(max(1, threads)).write.mode("overwrite").partitionBy("video_id").parquet(path)
+    watched.repartition(max(1, threads), "video_id").write.mode("overwrite").partitionBy("video_id").parquet(path)
     return seen.get
 
 

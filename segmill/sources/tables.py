@@ -31,8 +31,8 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def preference(text: Column) -> Column:
-    """A settings file's language, ``auto`` for anything else."""
-    t = F.lower(F.trim(text))
+    """A settings file's language, white space and line ends around it gone; ``auto`` for anything else."""
+    t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
     return F.when(t.isin("zh", "en"), t).otherwise("auto")
 
 

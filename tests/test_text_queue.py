@@ -100,3 +100,11 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("cuts").collect())) == [("a", 11.0), ("a", 21.5), ("b", 50.0)]
     ev = spark.sql("SELECT timestamp_ntz'2024-01-01 00:10:00' ts, 'click' event_type, 1.0D value UNION ALL SELECT timestamp_ntz'2024-01-01 01:10:00', 'click', 2.0D")
     assert [r.n for r in tumbling_counts(ev).collect()] == [1, 1]
+
+
+def test_folders_of_bare_names(spark):
+    from segmill.operators.intervals import output_dir
+
+    rows = spark.createDataFrame([("a.mp4",), ("/a.mp4",), ("/x/a.b.mp4",), ("C:\\v\\a.mp4",)], "p string")
+    got = [tuple(r) for r in rows.select(T.directory(F.col("p")), output_dir(F.col("p"))).collect()]
+    assert got == [("", "a_Scenes"), ("/", "/a_Scenes"), ("/x", "/x/a.b_Scenes"), ("C:\\v", "C:\\v/a_Scenes")]
