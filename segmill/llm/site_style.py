@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, trimmed
 
 GAMMA = 0.9  # weight of a node's content against its presentation
-LOW = 0.5  # nodes of less importance are noise
-SITE_PAGES, WEB_PAGES = 20, 200  # different pages that a node must stand in before its entropy means something
-PRIOR = 1.0  # pages that the prior importance counts for where hosts of few pages are judged too
-NOISE_SHARED = 50_000  # noise nodes that are handed to all tasks at once; more are joined instead
+LOW = 0.5  # presentation nodes of less importance are noise
+CONTENT_LOW = 0.25  # content nodes of less importance are noise: texts that stand on about n ** 0.75 of a node's n pages
+PRIOR = 1.0  # pages that full importance counts for before entropies are believed
+MARKED = 0.0  # prior importance of what markup names as no part of the article; everything else has 1
 
 # Fixed values of HTML: elements without content, elements whose content is not text of the page, elements that break a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +32,10 @@ NOISE_TAGS = frozenset("nav header footer aside form menu dialog head fieldset".
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted recommended related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words that say nothing of a part's kind, only of its place or shape: of a compound's words the last other one counts, as in "comment-list".
+PLACE_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons container content desktop global icons inner item items left link links list main mobile outer page panel posts primary right secondary section site slot stories toggle top unit wrap wrapper".split()
+)
 NOISE_ROLES = frozenset("banner navigation contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(
@@ -49,6 +53,17 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def names_noise(value: str) -> bool:
+    """Whether a class or id names what is no part of an article: a word of a compound decides only as its head, so "ad-hoc" is none."""
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        while len(words) > 1 and (words[-1] in PLACE_WORDS or words[-1][0].isdigit()):
+            words.pop()
+        if words and words[-1] in NOISE_WORDS:
+            return True
+    return False
+
+
 def blocks_of(page: str) -> list[tuple[str, bool, str, str]]:
     """The page's blocks in order: path, whether an ancestor is noise by its kind, inline presentation, text.
 
@@ -123,14 +138,15 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, str]]:
         if tag in VOID:
             continue
         path, noise = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        name, noise = tag, noise or tag in NOISE_TAGS
+        inside = any(s[0] == "article" for s in stack)  # a header in an article is the article's own
+        name, noise = tag, noise or tag in NOISE_TAGS and not (tag == "header" and inside)
         for key, value in _ATTR.findall(m["attrs"]):
             value = value.strip("\"'").lower()
             key = key.lower()
             if key == "hidden" or key == "role" and value in NOISE_ROLES:
                 noise = True
             elif key in ("class", "id") and value:
-                noise = noise or tag not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(re.split(r"[\s_-]+", value))
+                noise = noise or tag not in ("html", "body", "article", "main") and names_noise(value)
                 if key == "class":
                     name += "." + ".".join(sorted(set(value.split())))
         stack.append((tag, f"{path}/{name}", noise))
@@ -144,41 +160,34 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(blake2b("\x1f".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def nodes_of(page: str) -> list[tuple[str, int, int]]:
-    """Path, presentation and content of each of the page's style-tree leaves that is not noise by its kind."""
+def nodes_of(page: str) -> list[tuple[int, int, int, int, float, str]]:
+    """The page's blocks in order, each with its nodes of the style tree: path, its presentation and its whole content on this page (one
+    presentation node per path), the block's own content (a content node below it), the prior importance that markup gives, the text."""
+    blocks = blocks_of(page)
     seen: dict[str, tuple[list[str], list[str]]] = {}
-    for path, noise, inline, text in blocks_of(page):
-        if not noise:
-            styles, texts = seen.setdefault(path, ([], []))
-            styles.append(inline)
-            texts.append(text)
-    return [(p, _hash(*s), _hash(*t)) for p, (s, t) in seen.items()]
+    for path, _, inline, text in blocks:
+        styles, texts = seen.setdefault(path, ([], []))
+        styles.append(inline)
+        texts.append(text)
+    known = {p: (_hash(p), _hash(*s), _hash(*t)) for p, (s, t) in seen.items()}
+    return [(*known[path], _hash(text), MARKED if noise else 1.0, "" if noise and MARKED < LOW else text) for path, noise, _, text in blocks]
 
 
-def _nodes(batches):
+BLOCKS = "array<struct<path: bigint, style: bigint, whole: bigint, content: bigint, prior: double, text: string>>"
+
+
+def _parsed(batches):
     for b in batches:
-        rows = []
-        for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-            host, page = host_of(url), page or ""
-            rows += [(host, path, style, content, _hash(page)) for path, style, content in nodes_of(page)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "path", "style", "content", "page"])
-
-
-def _texts(shared):
-    def run(batches):
-        for b in batches:
-            rows = [b.column(c).to_pylist() for c in ("url", "html")]
-            drops = b.column("drop").to_pylist() if "drop" in b.schema.names else [None] * b.num_rows
-            texts = []
-            for url, page, drop in zip(*rows, drops, strict=True):
-                host, gone = host_of(url), set(drop or ())
-                kept = [t for path, noise, _, t in blocks_of(page or "") if not noise and path not in gone and (host, path) not in shared.value]
-                texts.append(" ".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return run
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            hosts, pages, blocks = [], [], []
+            for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+                hosts.append(host_of(url))
+                pages.append(_hash(page or ""))
+                blocks.append([dict(zip(("path", "style", "whole", "content", "prior", "text"), x, strict=True)) for x in nodes_of(page or "")])
+            ints = [(c, pa.int64()) for c in ("path", "style", "whole", "content")]
+            kind = pa.list_(pa.struct([*ints, ("prior", pa.float64()), ("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(blocks, kind)], ["page_id", "url", "host", "page", "blocks"])
 
 
 def importance(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,39 +204,43 @@ def importance(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.col("content_pages").alias("pages"), (GAMMA * F.col("content") + (1 - GAMMA) * F.col("style")).alias("importance"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, shared_limit: int = NOISE_SHARED, prior: float = 0.0) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars.
+def style_tree(parsed: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """host, path, content, pages, node, own: every content node of the hosts' style trees with the importance of its presentation node and its own.
 
-    Each page's blocks are leaves of its host's style tree, merged over all the host's different pages (identical
-    pages count once) by their path of block elements and classes.  A leaf's importance is the normalised entropy of its
-    contents and presentations over these pages; below ``low`` it is template and is removed from every page, and with all
-    its leaves a branch goes.  Hosts with fewer than SITE_PAGES pages of a node borrow the tree of all hosts together, if
-    WEB_PAGES pages have it there; else the node stays.  With a ``prior`` there is no such switch: a node of n pages
-    has the mean of its importance, counted n - 1 times, and of the prior one, counted ``prior`` times, which is that of all
-    hosts' tree if WEB_PAGES pages have the node there, else 1.  Elements that HTML or their class names mark as navigation, header, footer, sidebar,
-    notice, advert, form or comments have importance 0, and articles' own paragraphs and headings 1, whatever the entropy.
-
-    White space inside a block becomes one space, blocks are joined by one space, references are decoded.  Null or empty
-    html gives the empty text; a null url counts as a host of its own, empty name.  Rows may repeat; an empty table gives no rows.
+    A presentation node's is that of :func:`importance`; a content node's is one less the entropy of its pages (k of the node's n give
+    log k / log n).  Both are means, counted n - 1 times, with full importance, counted ``prior`` times: few pages prove little.
     """
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "style")
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    nodes = base.select("url", "html").mapInArrow(trimmed(_nodes), "host string, path string, style long, content long, page long").distinct()
-    nodes = scratch.write(nodes.where(~F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/(section|div|p|h[1-6]|ul|ol|li|blockquote|table|tbody|tr|td))*$")), "nodes")
-    site = importance(nodes, ["host", "path"])
-    web = importance(nodes, ["path"]).select("path", F.col("pages").alias("web_pages"), F.col("importance").alias("web"))
-    value = F.when(F.col("pages") >= SITE_PAGES, F.col("importance")).when(F.col("web_pages") >= WEB_PAGES, F.col("web"))
-    if prior:
-        known = F.when(F.col("web_pages") >= WEB_PAGES, F.col("web")).otherwise(1.0)
-        value = (F.col("importance") * (F.col("pages") - 1) + known * prior) / (F.col("pages") - 1 + prior)
-    noise = scratch.write(site.join(web, "path").where(value < low).select("host", "path"), "noise")
-    schema = "page_id long, url string, text string, n_chars long"
-    if noise.count() <= shared_limit:
-        shared = spark.sparkContext.broadcast({(r.host, r.path) for r in noise.collect()})  # bounded by shared_limit
-        return base.mapInArrow(trimmed(_texts(shared)), schema)
-    host = F.lower(F.regexp_extract("url", _HOST.pattern, 1))
-    mine = base.select("page_id", F.coalesce(host, F.lit("")).alias("host")).distinct().join(noise, "host").groupBy("page_id").agg(F.collect_set("path").alias("drop"))
-    shared = spark.sparkContext.broadcast(frozenset())
-    return base.join(mine, "page_id", "left").mapInArrow(trimmed(_texts(shared)), schema)
+    rows = parsed.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.*")
+    site = importance(rows.select("host", "path", "style", F.col("whole").alias("content"), "page").distinct().drop("page"), ["host", "path"])
+    own = rows.select("host", "path", "content", "page").distinct().groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("k"))
+    believed = lambda x: (x * (F.col("pages") - 1) + prior) / (F.col("pages") - 1 + prior)
+    rare = 1 - F.log("k") / F.log(F.greatest("pages", F.lit(2)))
+    return own.join(site, ["host", "path"]).select("host", "path", "content", "pages", believed(F.col("importance")).alias("node"), believed(rare).alias("own"))
 
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, content_low: float = CONTENT_LOW, prior: float = PRIOR) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars.
+
+    All of each page's blocks are nodes of its host's style tree, merged over all the host's different pages (identical pages count once): a
+    presentation node per path of block elements and classes, and below it a content node per text.  A block's importance is what
+    its markup gives beforehand (0 inside elements that HTML or their class or id names mark as navigation, header, footer, sidebar, notice,
+    advert, form or comments; else 1) times what the tree gives; a block goes if its presentation node's lies below ``low`` or its content node's
+    below ``content_low`` (:func:`style_tree`).  So template text goes wherever it stands, articles included, from three pages of a node on (five for a text
+    among others), and varied text goes only where markup speaks against it, as it does for comments and adverts.
+
+    White space inside a block becomes one space, blocks are joined by one space, references are decoded.  Null or empty html gives the
+    empty text; a null url counts as a host of its own, empty name.  Very long pages are taken whole.  Rows and ids may repeat or be null: a row is
+    a page by itself; there are no ties; an empty table gives no rows; other columns are ignored.
+    """
+    scratch = Scratch(pages.sparkSession, "style")
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    parsed = scratch.write(base.mapInArrow(trimmed(_parsed), f"page_id long, url string, host string, page long, blocks {BLOCKS}"), "parsed")
+    noise = style_tree(parsed, prior).where((F.col("node") < low) | (F.col("own") < content_low)).select("host", "path", "content")
+    noise = scratch.write(noise, "noise")
+    held = parsed.select("host", "page", F.explode("blocks").alias("b")).where(F.col("b.prior") >= low).select("host", "page", "b.path", "b.content")
+    mark = F.xxhash64("path", "content")
+    drops = scratch.write(held.join(noise, ["host", "path", "content"]).groupBy("host", "page").agg(F.collect_set(mark).alias("drop")), "drops")
+    kept = F.filter("blocks", lambda b: (b["prior"] >= low) & ~F.array_contains("drop", F.xxhash64(b["path"], b["content"])))
+    out = parsed.join(drops, ["host", "page"], "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<bigint>")))
+    out = out.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -42,12 +42,11 @@ def test_templates_without_meaningful_tags_are_found_by_entropy(spark):
     extra = [(5000, None, "<p>alone", "x", ""), (5001, "https://one.example/e", None, "x", ""), (5002, "https://one.example/e", "", "x", ""), (5003, "https://one.example/f", "<article>" + "<p>long text" * 20_000 + "</article>", "x", "")]
     rows += [(2000 + i, *r[1:]) for i, r in enumerate([rows[0]] * 30)]  # copies of one page are no template
     df = spark.createDataFrame([r[:4] for r in rows + small + extra], "page_id long, url string, html string, text string").repartition(7)
-    for limit in (50_000, 0):
-        got = {r.page_id: r for r in main_text(df, shared_limit=limit).collect()}
-        assert len(got) == len(rows) + len(small) + len(extra)
-        assert all(got[r[0]].text == r[4] and got[r[0]].n_chars == len(r[4]) for r in rows)
-        assert all(got[r[0]].text == f"Welcome to our site {r[4]} All rights {i % 2}" for i, r in enumerate(small))  # too few pages to tell
-        assert [got[i].text for i in (5000, 5001, 5002)] == ["alone", "", ""] and got[5003].text == " ".join(["long text"] * 20_000)
+    got = {r.page_id: r for r in main_text(df).collect()}
+    assert len(got) == len(rows) + len(small) + len(extra)
+    assert all(got[r[0]].text == r[4] and got[r[0]].n_chars == len(r[4]) for r in rows)
+    assert all(r[4] in got[r[0]].text and "Welcome" not in got[r[0]].text for r in small)
+    assert [got[i].text for i in (5000, 5001, 5002)] == ["alone", "", ""] and got[5003].text == " ".join(["long text"] * 20_000)
     assert main_text(df.where("page_id < 0")).count() == 0
 
 
@@ -65,3 +64,45 @@ def test_template_of_a_small_host_goes(spark, tmp_path):
     got = {r.page_id: r.text for r in op8_html_text(spark, str(tmp_path)).collect()}
     assert all(r[4] in got[r[0]] and "Welcome" not in got[r[0]] for r in rows[:4])
     assert got[10] == f"Welcome to our site {rows[4][4]} All rights 0"  # one page tells nothing
+
+
+def test_repeated_text_inside_articles_goes_and_varied_text_stays(spark):
+    rows = [(i, "https://h.example/%d" % i, f"<article><header><h1>Title {i}</h1></header><p>Own words {i}</p><p>Share this page with friends</p><div class='ad-hoc'>free {i}</div>"
+             f"<div class='legal-history'>law {i}</div><div class='comment-list'>c {i}</div><p>{'said twice' if i < 2 else f'said once {i}'}</p></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} Own words {i} free {i} law {i} " + ("said twice" if i < 2 else f"said once {i}") for i in range(12)}
+
+
+def test_entropies_same_as_brute_force(spark):
+    """Over given pages: every block of every page is in the tree, with importances recomputed from their definition."""
+    import math
+    from collections import Counter, defaultdict
+
+    import pyarrow.parquet as pq
+
+    from segmill.llm.site_style import BLOCKS, GAMMA, _parsed, nodes_of, style_tree
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    nodes, contents = defaultdict(list), defaultdict(set)
+    for p in pages:
+        seen = {}
+        for path, style, whole, content, _, _ in nodes_of(p["html"]):
+            seen[path] = (style, whole)
+            contents[host_of(p["url"]), path, content].add(p["html"])
+        for path, x in seen.items():
+            nodes[host_of(p["url"]), path].append(x)
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(max(2, n))
+
+    want = {}
+    for (host, path, content), on in contents.items():
+        x = nodes[host, path]
+        n = len(x)
+        node = GAMMA * entropy([c for _, c in x]) + (1 - GAMMA) * entropy([s for s, _ in x])
+        want[host, path, content] = (n, (node * (n - 1) + 1) / n, ((1 - math.log(len(on)) / math.log(max(2, n))) * (n - 1) + 1) / n)
+    df = spark.createDataFrame([(p["page_id"], p["url"], p["html"]) for p in pages], "page_id long, url string, html string")
+    got = {(r.host, r.path, r.content): (r.pages, r.node, r.own) for r in style_tree(df.mapInArrow(_parsed, f"page_id long, url string, host string, page long, blocks {BLOCKS}")).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
