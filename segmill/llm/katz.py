@@ -18,7 +18,7 @@ ORDER = 3  # words of the longest n-gram
 K = 5  # counts up to K are discounted
 BLOCK_BYTES = 4_000_000  # text of a block: documents whose tokens share a dictionary
 ASKED_PER_BUCKET = 600_000  # n-grams, distinct in their block, that meet in a bucket of a table, about
-PARTS = 2  # times that blocks ask the tables of n-grams, and that blocks are scored, to bound the disk
+PARTS = 2  # of the blocks, that are told and scored one after another, to bound the disk; for the same end they ask for n-grams of n words in n - 1 parts
 HOT = 1000  # a context with over 1/HOT of all training tokens is hot: there are fewer than HOT of each length
 END = np.uint64(1)  # hash of the mark that closes a text; words avoid it
 _U = np.uint64
@@ -275,7 +275,7 @@ def _word_table(buckets: int):
 
 
 def _gram_requests(k: int, model: Model, buckets: int, part: int):
-    """What a block asks the buckets whose number leaves ``part`` when divided by PARTS."""
+    """What a block asks the buckets whose number leaves ``part`` when divided by ``k``."""
 
     def requests(block: Block):
         context, last = block.grams[k]
@@ -290,7 +290,7 @@ def _gram_requests(k: int, model: Model, buckets: int, part: int):
             below[context] = block.totals(k - 1, model)[block.grams[k - 1][0][shorter]]
         order, cuts = _gram_buckets(block, k, model, buckets)
         for bucket in np.flatnonzero(np.diff(cuts)).tolist():
-            if bucket % PARTS != part:
+            if bucket % k != part:
                 continue
             mine = order[cuts[bucket] : cuts[bucket + 1]]
             new = np.flatnonzero(np.diff(context[mine], prepend=-1))
@@ -448,7 +448,7 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     base = whole_text(docs, id_col, text_col).withColumn("train", F.coalesce(train.cast("int"), F.lit(0)))
     state = scratch.write(base.mapInArrow(_blocks(block_bytes), "block long, words long, tokens long, texts long, data binary"), "blocks")
     n_words, n_tokens, texts = (x or 0 for x in state.agg(F.sum("words"), F.sum("tokens"), F.sum("texts")).first())
-    state, last = state.select("block", "data"), "blocks"
+    state, last = state.select("block", "data"), ["blocks"]
     spectra = [F.sum(F.col("spectrum")[r]) for r in range(K + 1)]
 
     def asked(name: str, k: int, requests, table) -> DataFrame:
@@ -458,6 +458,11 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         own = state.select("block", F.lit(None).cast("long").alias("bucket"), "data")
         return own.unionByName(answers.where("block is not null").select("block", "bucket", "data"))
 
+    def in_parts(name: str, run, schema: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("block"), F.lit(PARTS))
+        parts = [joined(answers).where(mine == part).groupBy("block").applyInPandas(run, schema) for part in range(PARTS)]
+        return reduce(DataFrame.unionByName, [scratch.write(rows, f"{name}-{part}") for part, rows in enumerate(parts)])
+
     buckets, tables = 1 + n_words // per_bucket, ["words"]
     answers = asked("words", 1, _word_requests(buckets), _word_table(buckets))
     row = answers.agg(F.sum("tokens"), F.sum("distinct"), *spectra).first()
@@ -465,19 +470,18 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     told = _told_words(buckets)
     buckets = 1 + n_tokens // per_bucket
     for k in range(1, order):
-        state = scratch.write(joined(answers).groupBy("block").applyInPandas(_state(k, told), "block long, data binary"), f"state-{k}")
-        scratch.drop(last, *tables)
-        last, tables = f"state-{k}", [f"grams-{k}-{part}" for part in range(PARTS)]
+        state = in_parts(f"state-{k}", _state(k, told), "block long, data binary")
+        scratch.drop(*last, *tables)
+        last, tables = [f"state-{k}-{part}" for part in range(PARTS)], [f"grams-{k}-{part}" for part in range(k)]
         parts = [asked(name, k + 1, _gram_requests(k, model, buckets, part), _gram_table(k, model)) for part, name in enumerate(tables)]
         answers = reduce(DataFrame.unionByName, parts)
         model.d.append(discounts([x or 0 for x in answers.agg(*spectra).first()]))
         sums = [F.sum(F.col("sums")[i]) for i in range(K + 1)]
         hot = {tuple(r[0]): tuple(r[1:]) for r in answers.where("key is not null").groupBy("key").agg(*sums).collect()}  # fewer than HOT
         told = _told_grams(k, model, buckets, hot)
-    mine = F.pmod(F.xxhash64("block"), F.lit(PARTS))
-    scores = [scratch.write(joined(answers).where(mine == part).groupBy("block").applyInPandas(_scores(order, told, model), SCORES), f"scores-{part}") for part in range(PARTS)]
-    scratch.drop(last, *tables)
-    return reduce(DataFrame.unionByName, scores)
+    scores = in_parts("scores", _scores(order, told, model), SCORES)
+    scratch.drop(*last, *tables)
+    return scores
 
 
 def op9(docs: DataFrame) -> DataFrame:
