@@ -18,7 +18,7 @@ ORDER = 3  # words of the longest n-gram
 K = 5  # counts up to K are discounted
 BLOCK_BYTES = 4_000_000  # text of a block: documents whose tokens share a dictionary
 ASKED_PER_BUCKET = 600_000  # n-grams, distinct in their block, that meet in a bucket of a table, about
-PARTS = 2  # of the blocks, that are told and scored one after another, to bound the disk; for the same end they ask for n-grams of n words in n - 1 parts
+PARTS = 4  # of the blocks, that are told and scored one after another, each in place of what it was before, to bound the disk; for the same end they ask for n-grams of n words in n - 1 parts
 HOT = 1000  # a context with over 1/HOT of all training tokens is hot: there are fewer than HOT of each length
 END = np.uint64(1)  # hash of the mark that closes a text; words avoid it
 _U = np.uint64
@@ -448,20 +448,24 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     base = whole_text(docs, id_col, text_col).withColumn("train", F.coalesce(train.cast("int"), F.lit(0)))
     state = scratch.write(base.mapInArrow(_blocks(block_bytes), "block long, words long, tokens long, texts long, data binary"), "blocks")
     n_words, n_tokens, texts = (x or 0 for x in state.agg(F.sum("words"), F.sum("tokens"), F.sum("texts")).first())
-    state, last = state.select("block", "data"), ["blocks"]
+    mine = F.pmod(F.xxhash64("block"), F.lit(PARTS))
+    states, last = [state.select("block", "data").where(mine == part) for part in range(PARTS)], []
     spectra = [F.sum(F.col("spectrum")[r]) for r in range(K + 1)]
 
     def asked(name: str, k: int, requests, table) -> DataFrame:
+        state = reduce(DataFrame.unionByName, states)
         return scratch.write(state.mapInArrow(_asking(k, requests), ASKED).groupBy("bucket").applyInPandas(table, TABLE), name)
 
-    def joined(answers: DataFrame):
-        own = state.select("block", F.lit(None).cast("long").alias("bucket"), "data")
-        return own.unionByName(answers.where("block is not null").select("block", "bucket", "data"))
-
-    def in_parts(name: str, run, schema: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("block"), F.lit(PARTS))
-        parts = [joined(answers).where(mine == part).groupBy("block").applyInPandas(run, schema) for part in range(PARTS)]
-        return reduce(DataFrame.unionByName, [scratch.write(rows, f"{name}-{part}") for part, rows in enumerate(parts)])
+    def in_parts(name: str, run, schema: str) -> list[DataFrame]:
+        """What ``run`` makes of each part's blocks and their answers; a part's former table goes as soon as the new one is there."""
+        answered, out = answers.where("block is not null").select("block", "bucket", "data"), []
+        for part, state in enumerate(states):
+            own = state.select("block", F.lit(None).cast("long").alias("bucket"), "data")
+            told_to = own.unionByName(answered.where(mine == part))
+            out.append(scratch.write(told_to.groupBy("block").applyInPandas(run, schema), f"{name}-{part}"))
+            if last:
+                scratch.drop(last[part])
+        return out
 
     buckets, tables = 1 + n_words // per_bucket, ["words"]
     answers = asked("words", 1, _word_requests(buckets), _word_table(buckets))
@@ -470,8 +474,8 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     told = _told_words(buckets)
     buckets = 1 + n_tokens // per_bucket
     for k in range(1, order):
-        state = in_parts(f"state-{k}", _state(k, told), "block long, data binary")
-        scratch.drop(*last, *tables)
+        states = in_parts(f"state-{k}", _state(k, told), "block long, data binary")
+        scratch.drop("blocks", *tables)
         last, tables = [f"state-{k}-{part}" for part in range(PARTS)], [f"grams-{k}-{part}" for part in range(k)]
         parts = [asked(name, k + 1, _gram_requests(k, model, buckets, part), _gram_table(k, model)) for part, name in enumerate(tables)]
         answers = reduce(DataFrame.unionByName, parts)
@@ -480,8 +484,8 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         hot = {tuple(r[0]): tuple(r[1:]) for r in answers.where("key is not null").groupBy("key").agg(*sums).collect()}  # fewer than HOT
         told = _told_grams(k, model, buckets, hot)
     scores = in_parts("scores", _scores(order, told, model), SCORES)
-    scratch.drop(*last, *tables)
-    return scores
+    scratch.drop("blocks", *tables)
+    return reduce(DataFrame.unionByName, scores)
 
 
 def op9(docs: DataFrame) -> DataFrame:
