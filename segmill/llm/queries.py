@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann
+from .byte_bpe import op13
 from .common import table
 from .exact_dedup import exact_dedup
 from .katz import op9
@@ -53,6 +54,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -69,6 +74,7 @@ def queries() -> dict:
         "op8_html_text": op8_html_text,
         "op9_katz": op9_katz,
         "op10_language_id": op10_language_id,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
