@@ -16,6 +16,7 @@ from .packing import op4
 from .sentencepiece_unigram import op1
 from .site_style import main_text
 from .toxicity import op3
+from .whitening import op12
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12(table(spark, sf_dir, "embeddings"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ def queries() -> dict:
         "op8_html_text": op8_html_text,
         "op9_katz": op9_katz,
         "op10_language_id": op10_language_id,
+        "op12_whitening": op12_whitening,
         "op13_byte_bpe": op13_byte_bpe,
     }
 
