@@ -15,6 +15,7 @@ from .minhash import near_duplicates
 from .packing import op4
 from .sentencepiece_unigram import op1
 from .site_style import main_text
+from .token_align import op11
 from .toxicity import op3
 from .whitening import op12
 
@@ -55,6 +56,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12(table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +84,7 @@ def queries() -> dict:
         "op8_html_text": op8_html_text,
         "op9_katz": op9_katz,
         "op10_language_id": op10_language_id,
+        "op11_alignment": op11_alignment,
         "op12_whitening": op12_whitening,
         "op13_byte_bpe": op13_byte_bpe,
     }
