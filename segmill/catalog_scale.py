@@ -5,11 +5,15 @@ The events of every third user are one timeline here, so a third of all rows has
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill import catalog as C
 from segmill.operators import frames, ranged
+from segmill.shared import shared_folder
+from segmill.sources.frames import frame_table, write_frames
 
 
 def hot(spark, sf_dir) -> DataFrame:
@@ -51,8 +55,22 @@ def hot_cuts(spark, sf_dir):
     return ranged.ranged_cuts(_hot_frames(spark, sf_dir), 0.1, 10.0)
 
 
+def frame_ranges(spark, sf_dir):
+    """The timeline written as raw frames of 2 x 1 pixels, a file per user, and read back by ranges of 1,000 frames from the sixth on."""
+    shade = F.lpad(F.hex(F.floor(F.col("score") * 250).cast("int")), 2, "0")
+    raw = C._frames(spark, sf_dir).withColumn("rgb", F.unhex(F.repeat(shade, F.lit(6))))
+    folder = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    write_frames(raw, folder).write.format("noop").mode("overwrite").save()
+    read = frame_table(spark, folder, 2, 1, split_bytes=6000).where("frame_no >= 5")
+    video = F.regexp_extract("video_id", r"([0-9]+)\.raw$", 1).cast("long")
+    return read.select(video.alias("video_id"), "frame_no", F.conv(F.hex(F.substring("rgb", 1, 1)), 16, 10).cast("long").alias("shade"))
+
+
 def queries() -> dict:
-    return {"hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts}
+    return {
+        "hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts,
+        "frame_ranges": frame_ranges,
+    }
 
 
 # ---- oracle SQL -------------------------------------------------------------------------------------------------
@@ -74,5 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "hot_frame_lookup": C._with([_HOT, "w AS (SELECT video_id, event_id AS idx, greatest(0, t - 0.1) AS s FROM hl)", "f AS (SELECT video_id, t, min(event_id) AS event_id FROM hl GROUP BY 1, 2)"],
             "SELECT w.video_id, w.idx, (SELECT arg_min(event_id, t) FROM f WHERE f.video_id = w.video_id AND f.t >= w.s AND f.t < w.s + 0.2) AS frame FROM w"),
         "hot_islands": C._with(_ISLANDS, "SELECT video_id, first, last, centre FROM isl"),
+        "frame_ranges": C._with([C._FRAMES], "SELECT video_id, i AS frame_no, CAST(floor(score * 250) AS BIGINT) AS shade FROM fr WHERE i >= 5"),
         "hot_cuts": C._with([*_ISLANDS, "s AS (SELECT video_id, CAST(centre AS DOUBLE) / 10 AS t FROM isl WHERE CAST(centre AS DOUBLE) / 10 > 0.05)", _greedy("k", "s", 0.25, ">", False)], "SELECT video_id, t FROM k"),
     }

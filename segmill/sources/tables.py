@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def score_scan(frames: DataFrame, threshold: float, start: float = 0.0, seconds: float | None = None) -> DataFrame:
-    """Rows whose score exceeds the threshold (rounded to 3 decimals) in a time range; both conditions reach the Parquet scan."""
+    """Rows whose score exceeds the threshold (rounded to 3 decimals) in a time range; both conditions reach the Parquet scan if both are stored columns."""
     out = frames.where((F.col("scene") > round(threshold, 3)) & (F.col("pts_time") >= start))
     return out if seconds is None else out.where(F.col("pts_time") < start + seconds)
 
@@ -55,7 +54,10 @@ def split_frames(stream, frame_bytes: int) -> Iterator[bytes]:
 
 
 def raw_frames(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
-    """video_id (the path), frame_no, rgb of raw rgb24 files that Spark can read, one file per video."""
+    """video_id (the path), frame_no, rgb of short raw rgb24 files in any store that Spark can read.
+
+    Each file is one value here, of 2 GB at most; ``frames.frame_table`` reads long videos by ranges.
+    """
     import pyarrow as pa
 
     size = width * height * 3
@@ -68,35 +70,3 @@ def raw_frames(spark: SparkSession, path: str, width: int, height: int) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(at, at + len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["video_id", "frame_no", "rgb"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "video_id string, frame_no long, rgb binary")
-
-
-class RawFrameSource(DataSource):
-    """``spark.read.format("rawframes")``: frames of local raw rgb24 files, read as streams, one partition per file.
-
-    Options: ``path`` (files divided by commas; every executor must see them), ``width``, ``height``.  For files in a store that only Spark
-    reads, take :func:`raw_frames`.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "rawframes"
-
-    def schema(self) -> str:
-        return "video_id string, frame_no long, rgb binary"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _RawFrameReader(self.options)
-
-
-class _RawFrameReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = options["path"].split(",")
-        self.size = int(options["width"]) * int(options["height"]) * 3
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            for n, frame in enumerate(split_frames(f, self.size)):
-                yield partition.value, n, frame
