@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import functools
+import json
 import os
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,14 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteBpe
 from .common import Scratch, bounded_batches, trimmed, whole_text
 
-CACHE = 200_000  # chunks whose ids a worker remembers
-SHORT = 64  # characters; longer chunks are not remembered
 MARK = "▁"  # stands for a space in the pieces of B
 
-_CHUNK = re.compile(r"(?<! )(?= \S)")
-
 
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable bytes for themselves, the others from U+0100 on."""
@@ -32,8 +30,8 @@ def byte_alphabet() -> dict[str, int]:
 class Tokenizers:
     """A byte-level tokenizer A and a SentencePiece model B over the same text with one space before it.
 
-    Both encode chunks: neither merges anything over the start of a word that one space divides from what precedes it.  A's pattern gives that
-    space to the word, and B has no piece with a marker after another character (else texts are encoded whole).
+    A's file is read by its own library.  Where its merges come in the order of their ids, its ids are those that byte ranks give, and the
+    faster library for ranks encodes the texts.
     """
 
     def __init__(self, a_json: str, b_model: bytes):
@@ -51,44 +49,40 @@ class Tokenizers:
         pieces = [self._b.id_to_piece(i) for i in range(len(self._b))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self._cut = not any(MARK in p.lstrip(MARK) for i, p in enumerate(pieces) if not self._b.is_byte(i))
-        self._seen: dict[str, tuple[bytes, bytes, bool]] = {}
+        self._ranked = self._by_ranks(json.loads(a_json))
         a, b = 2 * len(self.a_bytes), 2 * len(self.b_bytes)
         self.names = [f"{i // 2}{',|'[i % 2]}" for i in range(a)] + [f"{i // 2}{',;'[i % 2]}" for i in range(b)]
 
-    def _new(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
-        """Both tokenizers' ids of each chunk (packed 32-bit integers), and whether both give its bytes back."""
-        out = {}
-        for c, a, b in zip(chunks, self._a.encode_batch_fast(chunks, add_special_tokens=False), self._b.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            raw, a = c.encode(), a.ids
-            same = raw == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b])
-            out[c] = np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes(), same
-        return out
+    def _by_ranks(self, spec: dict) -> ByteBpe | None:
+        """A as byte ranks, if its file says nothing that ranks could not."""
+        import public_tokenizers
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids of each text by A and by B; none where either does not give back the bytes of the text."""
-        chunks = [(_CHUNK.split(" " + t) if self._cut else [" " + t]) if t else [] for t in texts]
-        if len(self._seen) > CACHE:
-            self._seen.clear()
-        new = self._new(list({c for p in chunks for c in p if c not in self._seen}))
-        seen = self._seen
-        seen.update(new)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
+        if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"]["".join(m)] for m in pairs]
+        alphabet = byte_alphabet()
+        if made != sorted(made) or any(model["vocab"].get(c, made[0]) >= made[0] for c in alphabet):
+            return None
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = b"".join(base64.b64encode(self.a_bytes[i]) + b" %d\n" % i for t, i in model["vocab"].items() if t not in added)
+        return ByteBpe(ranks, public_tokenizers.PATTERN)  # the pattern of byte-level files
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of each text by A and by B; none where either does not give back the bytes of the text."""
         out = []
-        for p, t in zip(chunks, texts, strict=True):
-            p = [seen[c] for c in p]
-            a, b = b"".join([x[0] for x in p]), b"".join([x[1] for x in p])
-            if not all([x[2] for x in p]) and not (" " + t).encode() == self._joined(a, self.a_bytes) == self._joined(b, self.b_bytes):
-                a = b = b""
-            out.append((a, b))
-        for c in new:
-            if len(c) > SHORT:
-                del seen[c]
+        for text, b in zip(texts, self._b.encode(texts, num_threads=1), strict=True):
+            a = []
+            if text:
+                raw = " " + text
+                a = self._ranked.encode(raw) if self._ranked else self._a.encode(raw, add_special_tokens=False).ids
+                if not raw.encode() == b"".join([self.a_bytes[i] for i in a]) == b"".join([self.b_bytes[i] for i in b]):
+                    a = b = []
+            out.append((np.array(a, np.int32), np.array(b, np.int32)))
         return out
 
-    @staticmethod
-    def _joined(ids: bytes, table: list[bytes]) -> bytes:
-        return b"".join([table[i] for i in np.frombuffer(ids, "<i4").tolist()])
-
 
 @functools.lru_cache(2)
 def _tokenizers(a_json: str, b_model: bytes) -> Tokenizers:
@@ -158,8 +152,8 @@ ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups str
 def _block(batch: pa.RecordBatch, block: int, tok: Tokenizers):
     """Rows of the batch's documents, then rows of its distinct id pairs with how many of its documents hold each."""
     coded = tok.encode([t or "" for t in batch.column(1).to_pylist()])
-    a, b = (np.frombuffer(b"".join([c[k] for c in coded]), "<i4") for k in (0, 1))
-    n_a, n_b = (np.array([len(c[k]) // 4 for c in coded], np.int64) for k in (0, 1))
+    a, b = (np.concatenate([c[k] for c in coded]) for k in (0, 1))
+    n_a, n_b = (np.array([len(c[k]) for c in coded], np.int64) for k in (0, 1))
     a_len = tok.a_len[a]
     a_until = np.concatenate([[0], np.cumsum(a_len)])
     size = np.diff(a_until[np.cumsum(n_a)], prepend=0)

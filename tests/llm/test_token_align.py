@@ -1,8 +1,8 @@
 import hashlib
+import json
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -69,14 +69,23 @@ def rows_of(rnd, n):
 SCHEMA = "doc_id long, text string, n_a int, pair string"
 
 
-def test_chunks_give_the_ids_of_the_whole(libraries):
+def test_ids_of_the_libraries(libraries):
     tok = Tokenizers(A_JSON, B_MODEL)
     rnd = random.Random(4)
     texts = TEXTS + ["".join(rnd.choice(["a", "th", " ", " ", "  ", "\n", "é", "日", "\t", "1", "'s", "\xa0", "　", "🙂"]) for _ in range(rnd.randint(1, 40))) for _ in range(500)]
     for t, (a, b) in zip(texts, tok.encode(texts), strict=True):
         sa, sb, _, _ = brute(libraries, t)
-        assert np.frombuffer(a, "<i4").tolist() == [i for i, _, _ in sa], t
-        assert np.frombuffer(b, "<i4").tolist() == [i for i, _, _ in sb], t
+        assert a.tolist() == [i for i, _, _ in sa], t
+        assert b.tolist() == [i for i, _, _ in sb], t
+
+
+def test_other_files_go_through_their_own_library(libraries):
+    spec = json.loads(A_JSON)
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]  # ids no longer tell the order of merges
+    tok, own = Tokenizers(json.dumps(spec), B_MODEL), Tokenizer.from_str(json.dumps(spec))
+    assert tok._ranked is None and Tokenizers(A_JSON, B_MODEL)._ranked is not None
+    for t in TEXTS[1:6]:
+        assert tok.encode([t])[0][0].tolist() == own.encode(" " + t, add_special_tokens=False).ids
 
 
 def test_brute_force(spark, libraries):
