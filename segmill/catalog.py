@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.functions import hashes, images, text
-from segmill.operators import boundaries, decode, dedup, frames, intervals, model, queue
+from segmill.operators import boundaries, decode, dedup, frames, intervals, model, queue, similar
 from segmill.params import Options, valid_number
 from segmill.plans import segments
 from segmill.sources.tables import preference, score_log, score_scan
@@ -123,7 +123,7 @@ def mean_bits_hash(spark, sf_dir):
 
 def hamming_pairs(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", hashes.mean_bits(F.col("embedding")).alias("p"))
-    return dedup.pairs_within(e.repartition("label"), "vec_id", "p", 20, "label")
+    return similar.pairs_within(e, "vec_id", "p", 20, "label")
 
 
 def dct_8x8(spark, sf_dir):

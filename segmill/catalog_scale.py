@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill import catalog as C
-from segmill.operators import frames, ranged
+from segmill.functions.hashes import mean_bits
+from segmill.operators import frames, ranged, similar
 from segmill.shared import shared_folder
 from segmill.sources.frames import frame_table, write_frames
 
@@ -66,10 +67,22 @@ def frame_ranges(spark, sf_dir):
     return read.select(video.alias("video_id"), "frame_no", F.conv(F.hex(F.substring("rgb", 1, 1)), 16, 10).cast("long").alias("shade"))
 
 
+def variants(spark, sf_dir) -> DataFrame:
+    """Three hashes for each embedding: its own, one with 3 other bits and one with 5; vec_id * 3 + variant tells them apart."""
+    e = C.read(spark, sf_dir, "embeddings").select("vec_id", mean_bits(F.col("embedding")).alias("p"))
+    place = (F.col("vec_id") % 50).cast("int")
+    flips = [F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(0b10101).cast("long"), place), F.call_function("shiftleft", F.lit(0b11111_0000_0000).cast("long"), place)]
+    return e.select(F.posexplode(F.array(*[F.struct((F.col("vec_id") * 3 + i).alias("id"), F.col("p").bitwiseXOR(f).alias("p")) for i, f in enumerate(flips)]))).select("col.id", "col.p")
+
+
+def hamming_near(spark, sf_dir):
+    return similar.pairs_within(variants(spark, sf_dir), "id", "p", 8)
+
+
 def queries() -> dict:
     return {
         "hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts,
-        "frame_ranges": frame_ranges,
+        "frame_ranges": frame_ranges, "hamming_near": hamming_near,
     }
 
 
@@ -92,6 +105,8 @@ def oracle_sql() -> dict[str, str]:
         "hot_frame_lookup": C._with([_HOT, "w AS (SELECT video_id, event_id AS idx, greatest(0, t - 0.1) AS s FROM hl)", "f AS (SELECT video_id, t, min(event_id) AS event_id FROM hl GROUP BY 1, 2)"],
             "SELECT w.video_id, w.idx, (SELECT arg_min(event_id, t) FROM f WHERE f.video_id = w.video_id AND f.t >= w.s AND f.t < w.s + 0.2) AS frame FROM w"),
         "hot_islands": C._with(_ISLANDS, "SELECT video_id, first, last, centre FROM isl"),
+        "hamming_near": f"""WITH {C._BITS}, b AS (SELECT vec_id * 3 + k AS id, xor(CAST(p AS BIGINT), CASE k WHEN 0 THEN CAST(0 AS BIGINT) WHEN 1 THEN CAST(21 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) ELSE CAST(31 * 256 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) END) AS p FROM h, range(3) z(k))
+            SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.p, y.p)) AS BIGINT) AS distance FROM b x JOIN b y ON x.id < y.id WHERE bit_count(xor(x.p, y.p)) <= 8""",
         "frame_ranges": C._with([C._FRAMES], "SELECT video_id, i AS frame_no, CAST(floor(score * 250) AS BIGINT) AS shade FROM fr WHERE i >= 5"),
         "hot_cuts": C._with([*_ISLANDS, "s AS (SELECT video_id, CAST(centre AS DOUBLE) / 10 AS t FROM isl WHERE CAST(centre AS DOUBLE) / 10 > 0.05)", _greedy("k", "s", 0.25, ">", False)], "SELECT video_id, t FROM k"),
     }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,19 +22,3 @@ def channel_bits(counts: Column, pixels: int = 256) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
-
-
-def bands(h: Column, distance: int, bits: int = 64) -> Column:
-    """``distance + 1`` keys of which two hashes within that distance share one (the pigeonhole principle)."""
-    n = distance + 1
-    cuts = [bits * k // n for k in range(n + 1)]
-    parts = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("value")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return F.array(*parts)
-
-
-def first_shared_band(a: Column, b: Column, distance: int, bits: int = 64) -> Column:
-    """Number of the first band that two hashes share; a pair found through several bands counts at this one only."""
-    n = distance + 1
-    cuts = [bits * k // n for k in range(n + 1)]
-    same = [((F.shiftrightunsigned(a.bitwiseXOR(b), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))) == 0, k) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return reduce(lambda rest, s: F.when(s[0], F.lit(s[1])).otherwise(rest), reversed(same), F.lit(n))

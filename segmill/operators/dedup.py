@@ -1,11 +1,11 @@
-"""Similar segments: the ordered merge/drop/new rule, and the unordered self-join within a distance."""
+"""Similar segments: the ordered merge/drop/new rule.  The unordered form is in :mod:`segmill.operators.similar`."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from segmill.functions.hashes import bands, first_shared_band, hamming
+from segmill.functions.hashes import hamming
 
 MERGE_P, MERGE_C = 3, 2  # greatest distances to the open segment that still continue it
 DROP_P, DROP_C = 5, 3  # greatest distances to any accepted segment that make a repeat
@@ -42,22 +42,3 @@ def merge_drop_new(candidates: Column) -> Column:
 
     empty = F.struct(F.lit(False).alias("open"), F.expr("0L").alias("p"), F.expr("0L").alias("c"), F.array().alias("seen"), F.array().alias("done")).cast(_ACC)
     return F.aggregate(candidates, empty, step, lambda a: a["done"])
-
-
-def pairs_within(rows: DataFrame, id_col: str, hash_col: str, distance: int, within: str | None = None) -> DataFrame:
-    """a, b, distance of all pairs of rows (of equal ``within``, if given) whose 64-bit hashes differ in ``distance`` bits at most.
-
-    Rows meet through the bands of their hashes: an equi join, not a comparison of all with all; a pair counts at its first shared
-    band only, so no distinct is needed.  Hashes should be plain columns, not expressions, or Spark computes them again in the join.
-    """
-    keys = [F.col(within).alias("_w")] if within else []
-    left = rows.select(F.col(id_col).alias("a"), F.col(hash_col).alias("ha"), *keys, F.explode(bands(F.col(hash_col), distance)).alias("k"))
-    right = rows.select(F.col(id_col).alias("b"), F.col(hash_col).alias("hb"), *([F.col(within).alias("_v")] if within else []), F.explode(bands(F.col(hash_col), distance)).alias("k"))
-    left = left.select("*", F.col("k.band").alias("band"), F.col("k.value").alias("value")).drop("k")
-    right = right.select("*", F.col("k.band").alias("_band"), F.col("k.value").alias("_value")).drop("k")
-    on = (left["band"] == right["_band"]) & (left["value"] == right["_value"]) & (left["a"] < right["b"])
-    if within:
-        on &= left["_w"] == right["_v"]
-    d = hamming(F.col("ha"), F.col("hb"))
-    met = left.join(right, on).where(d <= distance).where(first_shared_band(F.col("ha"), F.col("hb"), distance) == F.col("band"))
-    return met.select("a", "b", d.cast("long").alias("distance"))

@@ -5,7 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from segmill.functions import hashes, images
-from segmill.operators.dedup import merge_drop_new, pairs_within
+from segmill.operators.dedup import merge_drop_new
+from segmill.operators.similar import pairs_within
 from segmill.operators.model import detect, frame_scores, tensor, windows_of
 from segmill.sources.frames import RawFrameSource
 from segmill.sources.tables import raw_frames, read_exact, split_frames
