@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from segmill import catalog as C
 from segmill.functions.hashes import mean_bits
-from segmill.operators import frames, ranged, similar
+from segmill.operators import dedup, frames, ranged, similar
 from segmill.shared import shared_folder
 from segmill.sources.frames import frame_table, write_frames
 
@@ -79,10 +79,16 @@ def hamming_near(spark, sf_dir):
     return similar.pairs_within(variants(spark, sf_dir), "id", "p", 8)
 
 
+def hot_segments(spark, sf_dir):
+    """All events of the hot timelines as candidates of one second."""
+    cands = hot(spark, sf_dir).select("video_id", "event_id", F.col("pts_time").alias("t"), F.lit(1.0).alias("dur"), "p", "c")
+    return dedup.long_merge_drop_new(cands, "video_id", ("t", "event_id"))
+
+
 def queries() -> dict:
     return {
         "hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts,
-        "frame_ranges": frame_ranges, "hamming_near": hamming_near,
+        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments,
     }
 
 
@@ -105,6 +111,8 @@ def oracle_sql() -> dict[str, str]:
         "hot_frame_lookup": C._with([_HOT, "w AS (SELECT video_id, event_id AS idx, greatest(0, t - 0.1) AS s FROM hl)", "f AS (SELECT video_id, t, min(event_id) AS event_id FROM hl GROUP BY 1, 2)"],
             "SELECT w.video_id, w.idx, (SELECT arg_min(event_id, t) FROM f WHERE f.video_id = w.video_id AND f.t >= w.s AND f.t < w.s + 0.2) AS frame FROM w"),
         "hot_islands": C._with(_ISLANDS, "SELECT video_id, first, last, centre FROM isl"),
+        "hot_segments": C._with([_HOT.replace("t, scene FROM", "t, scene, p, c FROM"), "cand AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i, t, 1.0::DOUBLE AS dur, p, c FROM hl)", C._RULE.replace("FROM vid", "FROM hvid")],
+            "SELECT video_id, seg, t, dur, parts FROM segs"),
         "hamming_near": f"""WITH {C._BITS}, b AS (SELECT vec_id * 3 + k AS id, xor(CAST(p AS BIGINT), CASE k WHEN 0 THEN CAST(0 AS BIGINT) WHEN 1 THEN CAST(21 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) ELSE CAST(31 * 256 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) END) AS p FROM h, range(3) z(k))
             SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.p, y.p)) AS BIGINT) AS distance FROM b x JOIN b y ON x.id < y.id WHERE bit_count(xor(x.p, y.p)) <= 8""",
         "frame_ranges": C._with([C._FRAMES], "SELECT video_id, i AS frame_no, CAST(floor(score * 250) AS BIGINT) AS shade FROM fr WHERE i >= 5"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill.functions.hashes import hamming
@@ -42,3 +43,80 @@ def merge_drop_new(candidates: Column) -> Column:
 
     empty = F.struct(F.lit(False).alias("open"), F.expr("0L").alias("p"), F.expr("0L").alias("c"), F.array().alias("seen"), F.array().alias("done")).cast(_ACC)
     return F.aggregate(candidates, empty, step, lambda a: a["done"])
+
+
+class Accepted:
+    """Accepted hash pairs, found by blocks: of six blocks of ``p`` a repeat within DROP_P bits has one unchanged, of four blocks of ``c`` one within DROP_C."""
+
+    P_CUTS = [(64 * k // (DROP_P + 1), 64 * (k + 1) // (DROP_P + 1)) for k in range(DROP_P + 1)]
+    C_CUTS = [(24 * k // (DROP_C + 1), 24 * (k + 1) // (DROP_C + 1)) for k in range(DROP_C + 1)]
+
+    def __init__(self):
+        self._under: dict[tuple, list[tuple[int, int]]] = {}
+
+    def _keys(self, p: int, c: int):
+        ps = [(i, p >> lo & (1 << hi - lo) - 1) for i, (lo, hi) in enumerate(self.P_CUTS)]
+        high = c >> 24  # bits of a hash that is wider than colour hashes are; they lie in the last block
+        cs = [(j, c >> lo & (1 << hi - lo) - 1) for j, (lo, hi) in enumerate(self.C_CUTS)]
+        cs[-1] = (*cs[-1], high)
+        return [(*a, *b) for a in ps for b in cs]
+
+    def repeats(self, p: int, c: int) -> bool:
+        looked = set()
+        for key in self._keys(p, c):
+            for q in self._under.get(key, ()):
+                if q not in looked:
+                    if (q[0] ^ p).bit_count() <= DROP_P and (q[1] ^ c).bit_count() <= DROP_C:
+                        return True
+                    looked.add(q)
+        return False
+
+    def add(self, p: int, c: int) -> None:
+        for key in self._keys(p, c):
+            self._under.setdefault(key, []).append((p, c))
+
+
+def long_merge_drop_new(candidates: DataFrame, key: str = "video_id", order: tuple[str, ...] = ("t",)) -> DataFrame:
+    """key, seg, t, dur, parts, like :func:`merge_drop_new`, of candidates(key, t, dur, p, c) in timelines of any length.
+
+    Rows come sorted by ``order``; what is held is the open segment and an index of the accepted hashes (:class:`Accepted`), so each candidate
+    looks at few of them instead of all.  A timeline is one task, as each step depends on the one before.  Candidates without a hash change nothing;
+    null keys are a timeline; equal places in the order are taken in any order.
+    """
+    kind = candidates.schema[key].dataType
+    mask = (1 << 64) - 1
+
+    def run(batches):
+        now, accepted, is_open, lp, lc, seg = None, None, False, 0, 0, None
+        count = 0
+        for b in batches:
+            done: list[tuple] = []
+            for k, t, dur, p, c in zip(b.column(0), *(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                if now is None or not k.equals(now):
+                    if seg:
+                        done.append((now.as_py(), *seg))
+                    now, accepted, is_open, seg, count = k, Accepted(), False, None, 0
+                p, c = p & mask, c & mask
+                if is_open and (p ^ lp).bit_count() <= MERGE_P and (c ^ lc).bit_count() <= MERGE_C:
+                    seg[2], seg[3] = seg[2] + dur if dur is not None and seg[2] is not None else None, seg[3] + 1
+                elif accepted.repeats(p, c):
+                    is_open = False
+                else:
+                    if seg:
+                        done.append((now.as_py(), *seg))
+                    accepted.add(p, c)
+                    is_open, lp, lc, seg = True, p, c, [count, t, dur, 1]
+                    count += 1
+            if done:
+                yield _segments(done, b.schema.field(0).type)
+        if seg:
+            yield _segments([(now.as_py(), *seg)], now.type)
+
+    def _segments(rows, key_type):
+        columns = list(zip(*rows, strict=True))
+        types = [key_type, pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], [key, "seg", "t", "dur", "parts"])
+
+    usable = candidates.where("p is not null and c is not null").repartition(key).sortWithinPartitions(key, *order)
+    plain = usable.select(key, *(F.col(c).cast("double").alias(c) for c in ("t", "dur")), *(F.col(c).cast("long").alias(c) for c in ("p", "c")))
+    return plain.mapInArrow(run, f"{key} {kind.simpleString()}, seg long, t double, dur double, parts long")

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from segmill.functions import hashes, images
-from segmill.operators.dedup import merge_drop_new
+from segmill.operators.dedup import Accepted, long_merge_drop_new, merge_drop_new
 from segmill.operators.similar import pairs_within
 from segmill.operators.model import detect, frame_scores, tensor, windows_of
 from segmill.sources.frames import RawFrameSource
@@ -129,3 +129,36 @@ def test_model_seam(spark, tmp_path):
     spark.dataSource.register(RawFrameSource)
     own = spark.read.format("rawframes").options(path=str(tmp_path / "a.rgb"), width="48", height="27").load()
     assert own.count() == 160 and own.where("frame_no = 30").first().rgb == data[30]
+
+
+def test_long_timelines_have_an_index_of_hashes(spark):
+    rnd = random.Random(11)
+    lists = {}
+    for v in range(6):
+        p, c = 0, 0
+        lists[v] = []
+        for i in range(400):
+            if rnd.random() < 0.5:
+                p, c = rnd.choice([rnd.getrandbits(64), bits(rnd.randrange(64)), p]), rnd.choice([rnd.getrandbits(24), bits(rnd.randrange(24)), c])
+            if rnd.random() < 0.2 and lists[v]:
+                p, c = rnd.choice(lists[v])[2:]
+            flip = sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 6)))
+            lists[v].append((float(i), 1.5, p ^ flip, c ^ sum(1 << b for b in rnd.sample(range(24), rnd.randint(0, 4)))))
+    rows = [(v, t, d, p - (1 << 64) if p >> 63 else p, c) for v, x in lists.items() for t, d, p, c in x] + [(2, 3.5, 1.0, None, 4), (9, 1.0, 1.0, None, None)]
+    rnd.shuffle(rows)
+    got = {}
+    for r in long_merge_drop_new(spark.createDataFrame(rows, "video_id int, t double, dur double, p long, c long")).orderBy("video_id", "seg").collect():
+        got.setdefault(r.video_id, []).append((r.t, r.dur, r.parts))
+    assert got == {v: rule(x) for v, x in lists.items()}
+    assert long_merge_drop_new(spark.createDataFrame([], "video_id int, t double, dur double, p long, c long")).count() == 0
+
+
+def test_index_is_near_linear():
+    """All of 30,000 unlike hashes are accepted; each looks at few others."""
+    rnd, index = random.Random(3), Accepted()
+    for _ in range(30_000):
+        p, c = rnd.getrandbits(64), rnd.getrandbits(24)
+        if not index.repeats(p, c):
+            index.add(p, c)
+    lists = list(index._under.values())
+    assert sum(map(len, lists)) == 24 * 30_000 and sum(len(x) ** 2 for x in lists) / 30_000 < 60
