@@ -32,16 +32,19 @@ class Encoder:
 
     The vocabulary's pattern starts a new pre-token at every space that is followed by a non-space, so a text without
     a space followed by white space is cut there, and each chunk's ids are remembered.  Other texts are encoded whole.
-    Both ways give the ids that the reference library gives for the text.
+    Both ways give the ids that the library gives for the text by default: a special token's string in a text is that token, and texts with one go
+    through the library itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(special)) if special else None
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self._plain = self._direct(tokenizer, vocabulary)
+        self._library = tokenizer
         self._cache: dict[str, bytes] = {}
 
     @staticmethod
@@ -67,7 +70,7 @@ class Encoder:
         added = {t["content"] for t in json.loads(tokenizer.to_str()).get("added_tokens", [])}
         ranks = {bytes(bytes_of[c] for c in t): i for t, i in vocabulary.items() if t not in added}
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if model["type"] == "BPE" else None
-        probe = "It's an odd  probe,\n\n\twith 12345 things -- été naïve ½ 日本語 🙂!!  <|endoftext|> \n x y"
+        probe = "It's an odd  probe,\n\n\twith 12345 things -- été naïve ½ 日本語 🙂!!  <|endof> \n x y"
         return fast.encode_ordinary if fast and fast.encode_ordinary(probe) == slow(probe) else slow
 
     def _ids(self, text: str) -> bytes:
@@ -76,6 +79,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if self._special and self._special.search(text):
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _SPACES.search(text):
             return self._ids(text)
         head, *chunks = text.split(" ")

@@ -16,9 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 ENCODER = []
@@ -29,11 +27,16 @@ ENCODER = []
 def test_same_ids_as_library(text):
     if not ENCODER:
         t = Tokenizer.from_file(PATH)
-        t.encode_special_tokens = True
         ENCODER.extend([Encoder(PATH), t])
     assert np.frombuffer(ENCODER[0].encode(text), "<u4").tolist() == ENCODER[1].encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_as_the_library_takes_them(library):
+    own = Encoder(PATH)
+    for text in ("x<|endoftext|>y", "<|endoftext|>", "a b <|endoftext|> c  d", "<|endoftext|><|endoftext|> end", "<|endoftext"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_whole_operator(spark, library):
     rnd = random.Random(8)
     rows = [(i, " ".join("tok%d" % rnd.randrange(50) for _ in range(rnd.choice([1, 3, 30, 200, 500]))), "x") for i in range(300)]
