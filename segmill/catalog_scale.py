@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill import catalog as C
+from segmill.functions import images
 from segmill.functions.hashes import mean_bits
 from segmill.operators import dedup, frames, ranged, similar
 from segmill.shared import shared_folder
@@ -85,10 +86,27 @@ def hot_segments(spark, sf_dir):
     return dedup.long_merge_drop_new(cands, "video_id", ("t", "event_id"))
 
 
+def wide_pictures(spark, sf_dir) -> DataFrame:
+    """Embeddings as bgra frames of 24 rows of 40 pixels: pixel k is component 7 * k mod 64; red grows with it, green falls, blue is half of red."""
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.get("embedding", k * 7 % 64))
+    shade = F.transform(mixed, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 1) * 127.5))).cast("int"))
+    code = F.transform(shade, lambda s: F.concat(F.lpad(F.hex(F.floor(s / 2).cast("int")), 2, "0"), F.lpad(F.hex(255 - s), 2, "0"), F.lpad(F.hex(s), 2, "0"), F.lit("FF")))
+    data = F.unhex(F.repeat(F.array_join(code, ""), F.lit(24 * 40 // 64)))
+    return C.read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("video_id"), F.lit(0).cast("long").alias("idx"), F.lit(24).alias("height"), F.lit(40).alias("width"), F.lit("bgra").alias("mode"), data.alias("data"))
+
+
+def shrunk_hist(spark, sf_dir):
+    return images.histograms(wide_pictures(spark, sf_dir)).select("video_id", "channel", "level", "n")
+
+
+def shrunk_prints(spark, sf_dir):
+    return images.fingerprints(wide_pictures(spark, sf_dir)).select("video_id", "p")
+
+
 def queries() -> dict:
     return {
         "hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts,
-        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments,
+        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
     }
 
 
@@ -102,6 +120,22 @@ def _greedy(*args) -> str:
     return C._greedy(*args).replace("FROM vid", "FROM hvid")
 
 
+_WIDE = """px AS (SELECT video_id, k // 40 AS y, k % 40 AS x, s AS r, 255 - s AS g, s // 2 AS b FROM (SELECT vec_id AS video_id, k, CAST(least(255, greatest(0, floor((CAST(embedding[k * 7 % 64 + 1] AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS s FROM embeddings, range(960) z(k)))"""
+
+
+def _taps(name: str, n_in: int, n_out: int) -> str:
+    """Weights (i, x, w) of a resize by cubic weights (a = -0.5, edges repeated, widened when shrinking)."""
+    wide = max(1.0, n_in / n_out)
+    return f"""{name}0 AS (SELECT i, least({n_in - 1}, greatest(0, j)) AS x, CASE WHEN d <= 1 THEN 1.5 * d ** 3 - 2.5 * d ** 2 + 1 WHEN d < 2 THEN -0.5 * d ** 3 + 2.5 * d ** 2 - 4 * d + 2 ELSE 0 END AS w
+            FROM (SELECT i, j, abs(j - ((i + 0.5::DOUBLE) * {n_in} / {n_out} - 0.5)) / {wide}::DOUBLE AS d FROM range({n_out}) a(i), range(-8, {n_in + 8}) c(j))),
+        {name} AS (SELECT i, x, sum(w) / any_value(t) AS w FROM {name}0 JOIN (SELECT i, sum(w) AS t FROM {name}0 GROUP BY 1) USING (i) GROUP BY 1, 2 HAVING sum(abs(w)) > 0)"""
+
+
+def _low(name: str, taps: str) -> str:
+    """Low frequencies (i, x, w) of 32 resized points."""
+    return f"{name} AS (SELECT k AS i, x, sum(CASE WHEN k = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END * cos((2 * i + 1) * k * pi() / 64) * w) AS w FROM {taps}, range(8) z(k) GROUP BY 1, 2)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "hot_gap_cuts": C._with([_HOT, "q AS (SELECT DISTINCT video_id, t FROM hl WHERE scene > 0.1)", _greedy("k", "q", 0.5, ">", True)], "SELECT video_id, t FROM k"),
@@ -111,6 +145,17 @@ def oracle_sql() -> dict[str, str]:
         "hot_frame_lookup": C._with([_HOT, "w AS (SELECT video_id, event_id AS idx, greatest(0, t - 0.1) AS s FROM hl)", "f AS (SELECT video_id, t, min(event_id) AS event_id FROM hl GROUP BY 1, 2)"],
             "SELECT w.video_id, w.idx, (SELECT arg_min(event_id, t) FROM f WHERE f.video_id = w.video_id AND f.t >= w.s AND f.t < w.s + 0.2) AS frame FROM w"),
         "hot_islands": C._with(_ISLANDS, "SELECT video_id, first, last, centre FROM isl"),
+        "shrunk_hist": f"""WITH {_WIDE}, {_taps("ty", 24, 16)}, {_taps("tx", 40, 16)},
+            tall AS (SELECT video_id, i AS y, px.x, sum(w * r) AS r, sum(w * g) AS g, sum(w * b) AS b FROM px JOIN ty ON ty.x = px.y GROUP BY 1, 2, 3),
+            small AS (SELECT video_id, y, i AS x, [sum(w * r), sum(w * g), sum(w * b)] AS rgb FROM tall JOIN tx ON tx.x = tall.x GROUP BY 1, 2, 3),
+            lev AS (SELECT video_id, c AS channel, CAST(least(255, greatest(0, floor(round(rgb[c + 1], 6) + 0.5))) AS BIGINT) // 32 AS level, count(*) AS n FROM small, range(3) z(c) GROUP BY 1, 2, 3)
+            SELECT CAST(v.vec_id AS VARCHAR) AS video_id, CAST(c AS BIGINT) AS channel, CAST(l AS BIGINT) AS level, CAST(coalesce(n, 0) AS BIGINT) AS n
+            FROM embeddings v, range(3) a(c), range(8) d(l) LEFT JOIN lev ON lev.video_id = v.vec_id AND lev.channel = c AND lev.level = l""",
+        "shrunk_prints": f"""WITH {_WIDE}, {_taps("ty", 24, 32)}, {_taps("tx", 40, 32)}, {_low("ly", "ty")}, {_low("lx", "tx")},
+            tall AS (SELECT video_id, i AS u, px.x, sum(w * (0.299 * r + 0.587 * g + 0.114 * b) / 255) AS z FROM px JOIN ly ON ly.x = px.y GROUP BY 1, 2, 3),
+            coef AS (SELECT video_id, u, i AS v, sum(w * z) AS z FROM tall JOIN lx ON lx.x = tall.x GROUP BY 1, 2, 3), mean AS (SELECT video_id, avg(z) AS m FROM coef GROUP BY 1)
+            SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(sum(CASE WHEN z > m THEN CASE WHEN u * 8 + v = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(CAST(1 AS BIGINT) << CAST(u * 8 + v AS INTEGER) AS HUGEINT) END ELSE 0 END) AS BIGINT) AS p
+            FROM coef JOIN mean USING (video_id) GROUP BY 1""",
         "hot_segments": C._with([_HOT.replace("t, scene FROM", "t, scene, p, c FROM"), "cand AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i, t, 1.0::DOUBLE AS dur, p, c FROM hl)", C._RULE.replace("FROM vid", "FROM hvid")],
             "SELECT video_id, seg, t, dur, parts FROM segs"),
         "hamming_near": f"""WITH {C._BITS}, b AS (SELECT vec_id * 3 + k AS id, xor(CAST(p AS BIGINT), CASE k WHEN 0 THEN CAST(0 AS BIGINT) WHEN 1 THEN CAST(21 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) ELSE CAST(31 * 256 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) END) AS p FROM h, range(3) z(k))

@@ -26,7 +26,18 @@ def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    """Picture files as frames for ``functions.images.fingerprints``: video_id (the file), idx 0, height, width, mode, data, error.
+
+    Spark's reader gives pixels in the order blue, green, red (, alpha) and names their kind by a number; grey, three and four channels of 8 bits are
+    kinds known here.  A file that is no picture, or one of another kind, has a null picture and says so in ``error``.
+    """
+    rows = spark.read.format("image").load(folder).select("image.*")
+    mode = F.element_at(F.create_map(*[F.lit(x) for kind in ((0, "gray8"), (16, "bgr24"), (24, "bgra")) for x in kind]), F.col("mode"))
+    error = F.when(F.col("height") <= 0, "no picture").when(mode.isNull(), F.concat(F.lit("kind "), F.col("mode").cast("string")))
+    return rows.select(
+        F.col("origin").alias("video_id"), F.lit(0).cast("long").alias("idx"), F.when(error.isNull(), F.col("height")).alias("height"), F.when(error.isNull(), F.col("width")).alias("width"),
+        mode.alias("mode"), F.when(error.isNull(), F.col("data")).alias("data"), error.alias("error"),
+    )
 
 
 def preference(text: Column) -> Column:
