@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from segmill import catalog as C
 from segmill.functions import images
 from segmill.functions.hashes import mean_bits
-from segmill.operators import dedup, frames, ranged, similar
+from segmill.operators import dedup, frames, model, ranged, similar
 from segmill.shared import shared_folder
 from segmill.sources.frames import frame_table, write_frames
 
@@ -103,10 +103,20 @@ def shrunk_prints(spark, sf_dir):
     return images.fingerprints(wide_pictures(spark, sf_dir)).select("video_id", "p")
 
 
+def model_odd_frames(spark, sf_dir):
+    """Model scores where every seventh frame is null, every eleventh comes twice, and the output has one of four shapes, by the video."""
+    shapes = [lambda a: a[..., None], lambda a: a, lambda a: a.reshape(-1, 1), lambda a: a.ravel()]
+    frames_ = C._shades(spark, sf_dir).withColumn("rgb", F.when(F.col("frame_no") % 7 != 3, F.col("rgb")))
+    rows = frames_.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.when(F.col("frame_no") % 11 == 5, 2).otherwise(1)))).drop("again")
+    parts = [model.score_frames(rows.where(F.pmod(F.col("video_id").cast("long"), F.lit(4)) == k), lambda shape=shape: lambda x: shape(x[:, :, 0, 0, 0])) for k, shape in enumerate(shapes)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.select("video_id", "frame_no", F.round(F.col("score").cast("double"), 6).alias("score"))
+
+
 def queries() -> dict:
     return {
         "hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts,
-        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
+        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "model_odd_frames": model_odd_frames, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
     }
 
 
@@ -156,6 +166,8 @@ def oracle_sql() -> dict[str, str]:
             coef AS (SELECT video_id, u, i AS v, sum(w * z) AS z FROM tall JOIN lx ON lx.x = tall.x GROUP BY 1, 2, 3), mean AS (SELECT video_id, avg(z) AS m FROM coef GROUP BY 1)
             SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(sum(CASE WHEN z > m THEN CASE WHEN u * 8 + v = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(CAST(1 AS BIGINT) << CAST(u * 8 + v AS INTEGER) AS HUGEINT) END ELSE 0 END) AS BIGINT) AS p
             FROM coef JOIN mean USING (video_id) GROUP BY 1""",
+        "model_odd_frames": C._with([C._FRAMES], """SELECT CAST(video_id AS VARCHAR) AS video_id, i AS frame_no, CASE WHEN i % 7 <> 3 THEN round(CAST(CAST(CAST(floor(score * 250) AS FLOAT) / CAST(255 AS FLOAT) AS FLOAT) AS DOUBLE), 6) END AS score
+            FROM fr, range(2) z(k) WHERE k = 0 OR i % 11 = 5"""),
         "hot_segments": C._with([_HOT.replace("t, scene FROM", "t, scene, p, c FROM"), "cand AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i, t, 1.0::DOUBLE AS dur, p, c FROM hl)", C._RULE.replace("FROM vid", "FROM hvid")],
             "SELECT video_id, seg, t, dur, parts FROM segs"),
         "hamming_near": f"""WITH {C._BITS}, b AS (SELECT vec_id * 3 + k AS id, xor(CAST(p AS BIGINT), CASE k WHEN 0 THEN CAST(0 AS BIGINT) WHEN 1 THEN CAST(21 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) ELSE CAST(31 * 256 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) END) AS p FROM h, range(3) z(k))
