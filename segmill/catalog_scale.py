@@ -14,7 +14,10 @@ from segmill import catalog as C
 from segmill.functions import images
 from segmill.functions.hashes import mean_bits
 from segmill.operators import dedup, frames, model, ranged, similar
+from segmill.operators.intervals import scene_name
+from segmill.plans.long_segments import long_smart_segments, long_stamps
 from segmill.shared import shared_folder
+from segmill.sources.export import export_results, export_segments
 from segmill.sources.frames import frame_table, write_frames
 
 
@@ -113,10 +116,27 @@ def model_odd_frames(spark, sf_dir):
     return out.select("video_id", "frame_no", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
+def export_report(spark, sf_dir):
+    """Slices of the timelines exported as files in the shared folder, every fifth of a timeline without data: a result row for each."""
+    slices = C.fixed_slices(spark, sf_dir).withColumn("folder", F.concat(F.lit("user_"), F.col("video_id").cast("string")))
+    data = F.when(F.col("seg") % 5 != 4, F.concat_ws(" ", "video_id", "seg").cast("binary"))
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    export_segments(slices.select("folder", scene_name(F.col("seg"), F.col("t")).alias("name"), "dur", data.alias("data")), path, 4)
+    return export_results(spark, path).withColumn("bytes", F.coalesce("bytes", F.lit(-1)))
+
+
+def hot_smart_pipeline(spark, sf_dir):
+    return long_smart_segments(hot(spark, sf_dir), F.lit(C.END), C.SMART).select("video_id", "seg", "t", F.round("dur", 3).alias("dur"), "parts")
+
+
+def hot_adaptive_stamps(spark, sf_dir):
+    return long_stamps(hot(spark, sf_dir), C.ADAPTIVE, head=True)
+
+
 def queries() -> dict:
     return {
         "hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts,
-        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "model_odd_frames": model_odd_frames, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
+        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "model_odd_frames": model_odd_frames, "export_report": export_report, "hot_smart_pipeline": hot_smart_pipeline, "hot_adaptive_stamps": hot_adaptive_stamps, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
     }
 
 
@@ -146,8 +166,15 @@ def _low(name: str, taps: str) -> str:
     return f"{name} AS (SELECT k AS i, x, sum(CASE WHEN k = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE sqrt(2 / 32.0::DOUBLE) END * cos((2 * i + 1) * k * pi() / 64) * w) AS w FROM {taps}, range(8) z(k) GROUP BY 1, 2)"
 
 
+def _hot_plan(parts: list[str], select: str) -> str:
+    """A plan's SQL over the hot timelines."""
+    return "WITH RECURSIVE " + C._TL.replace("tl AS (SELECT user_id AS video_id,", "tl AS (SELECT CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS video_id,") + ", " + ", ".join(parts) + " " + select
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "hot_smart_pipeline": _hot_plan(C._SMART, "SELECT video_id, seg, t, round(dur, 3) AS dur, parts FROM segs"),
+        "hot_adaptive_stamps": _hot_plan([*C._ADAPTIVE, *C._head("merged")], "SELECT video_id, t FROM stamps"),
         "hot_gap_cuts": C._with([_HOT, "q AS (SELECT DISTINCT video_id, t FROM hl WHERE scene > 0.1)", _greedy("k", "q", 0.5, ">", True)], "SELECT video_id, t FROM k"),
         "hot_enforced_gap": C._with([_HOT, "q AS (SELECT DISTINCT video_id, t FROM hl)", _greedy("k", "q", 0.5, ">=", False), C._zero("z", "k").replace("FROM vid", "FROM hvid")], "SELECT video_id, t FROM z"),
         "hot_neighbours": C._with([_HOT, "m AS (SELECT DISTINCT video_id, t FROM hl WHERE scene > 0.5)"], """SELECT a.video_id, a.t, coalesce((SELECT max(m.t) FROM m WHERE m.video_id = a.video_id AND m.t < a.t), 0) AS previous,
@@ -168,6 +195,8 @@ def oracle_sql() -> dict[str, str]:
             FROM coef JOIN mean USING (video_id) GROUP BY 1""",
         "model_odd_frames": C._with([C._FRAMES], """SELECT CAST(video_id AS VARCHAR) AS video_id, i AS frame_no, CASE WHEN i % 7 <> 3 THEN round(CAST(CAST(CAST(floor(score * 250) AS FLOAT) / CAST(255 AS FLOAT) AS FLOAT) AS DOUBLE), 6) END AS score
             FROM fr, range(2) z(k) WHERE k = 0 OR i % 11 = 5"""),
+        "export_report": C._with([C._SLICES], """SELECT concat('user_', video_id) AS folder, printf('Scene_%03d_%.2fs.mp4', seg, CAST(t AS DOUBLE)) AS name, CAST(round(dur, 3) AS DOUBLE) AS dur,
+            CASE WHEN seg % 5 <> 4 THEN length(concat(video_id, ' ', seg)) ELSE -1 END AS bytes, CASE WHEN seg % 5 = 4 THEN 'ValueError: no data' END AS error FROM sl WHERE dur >= 0.5"""),
         "hot_segments": C._with([_HOT.replace("t, scene FROM", "t, scene, p, c FROM"), "cand AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i, t, 1.0::DOUBLE AS dur, p, c FROM hl)", C._RULE.replace("FROM vid", "FROM hvid")],
             "SELECT video_id, seg, t, dur, parts FROM segs"),
         "hamming_near": f"""WITH {C._BITS}, b AS (SELECT vec_id * 3 + k AS id, xor(CAST(p AS BIGINT), CASE k WHEN 0 THEN CAST(0 AS BIGINT) WHEN 1 THEN CAST(21 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) ELSE CAST(31 * 256 AS BIGINT) * CAST(pow(2, vec_id % 50) AS BIGINT) END) AS p FROM h, range(3) z(k))

@@ -9,12 +9,19 @@ from segmill.functions.text import extension, file_name, is_video
 
 
 def intake(paths: DataFrame, path_col: str = "path") -> DataFrame:
-    """path, name, ext of the accepted files, repeats kept, in order of ``pos`` if the table has it."""
+    """path, name, ext of the accepted files, repeats kept; ``pos``, if the table has it, stays and tells the order (:func:`in_order`)."""
     p = F.col(path_col)
     keep = [F.col("pos")] if "pos" in paths.columns else []
     return paths.where(is_video(p)).select(*keep, p.alias("path"), file_name(p).alias("name"), extension(p).alias("ext"))
 
 
+def in_order(queue: DataFrame, first: int | None = None) -> DataFrame:
+    """The queue as it is worked off: by ``pos``, or by batch, time and path as :func:`segmill.streaming.queue.take_files` leaves it; only the ``first`` ones if asked, which is no sort of the whole."""
+    by = ["pos", "path"] if "pos" in queue.columns else ["batch", "modificationTime", "path"]
+    ordered = queue.orderBy(*by)
+    return ordered if first is None else ordered.limit(first)
+
+
 def remove(queue: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return queue.join(gone.select(key).distinct(), key, "left_anti")
 

@@ -1,33 +1,8 @@
-"""The strict minimum gap rule over a stream: state is the last kept time of each timeline."""
+"""Tumbling windows over streams and tables.  Ordered rules over streams are in :mod:`segmill.streaming.ordered`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def stream_min_gap(rows: DataFrame, gap: float, threshold: float, key: str = "video_id", time: str = "pts_time", score: str = "scene") -> DataFrame:
-    """(key, time) of cuts as they come, counted from 0.  A session window would grow with each event; this rule measures from the last kept one.
-
-    Rows of a micro-batch are taken in time order; one that comes after a later one was kept is late and gives no cut.
-    """
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0.0
-        kept = []
-        pdf = pd.concat(list(batches))
-        for t in sorted(pdf[pdf[score] > threshold][time].tolist()):
-            if t - last > gap:
-                last = t
-                kept.append(t)
-        state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(kept), time: kept})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling_counts(rows: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

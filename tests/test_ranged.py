@@ -119,3 +119,21 @@ def test_islands_and_cuts(spark):
         got = ranged.ranged_islands(df, 0.5, frames_per_range=size)
         assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*(F.col(c).cast(got.schema[c].dataType) for c in got.columns)).collect()))
     assert sorted(map(str, ranged.ranged_cuts(df, 0.5, 25.0, ranges=4).collect())) == sorted(map(str, decode.decode_cuts(df.dropDuplicates(["video_id", "frame_no"]), 0.5, 25.0).collect()))
+
+
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_whole_plan(spark, adaptive):
+    """The plan over time ranges gives what the plan with a row per timeline gives."""
+    from segmill.params import Options
+    from segmill.plans.long_segments import long_smart_segments
+    from segmill.plans.segments import smart_segments
+
+    rnd = random.Random(21)
+    rows = [(v, t / 4, rnd.choice([0.0, 0.1, 0.2, 0.3, 0.9]), (1 << rnd.randint(0, 30)) - 1, 255 << rnd.choice([0, 8])) for v, n in (("hot", 2400), ("b", 100), ("c", 30)) for t in range(n) if rnd.random() < 0.7]
+    rows += [("quiet", 1.0, 0.0, 1, 1)]
+    df = spark.createDataFrame(rows, "video_id string, pts_time double, scene double, p long, c long").repartition(5)
+    o = Options(sensitivity=0.75, min_duration=4.0, adaptive=adaptive)
+    want = smart_segments(df, F.lit(700.0), o, head=True)
+    got = long_smart_segments(df, F.lit(700.0), o, head=True)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -1,5 +1,3 @@
-import time
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +5,7 @@ from segmill import params
 from segmill.functions import text as T
 from segmill.operators import frames, queue
 from segmill.sources import sinks, tables
-from segmill.streaming.min_gap import stream_min_gap, tumbling_counts
+from segmill.streaming.min_gap import tumbling_counts
 
 
 def value(spark, column):
@@ -87,17 +85,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tables.score_scan(scores, 0.25, 0, 20).count() == 1
 
 
-def test_streams(spark, tmp_path):
-    rows = [("a", 5.0, 0.9), ("a", 11.0, 0.9), ("a", 12.0, 0.9), ("a", 30.0, 0.1), ("b", 50.0, 0.9), ("a", 21.5, 0.9)]
-    schema = "video_id string, pts_time double, scene double"
-    spark.createDataFrame(rows[:3], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
-    time.sleep(1.1)
-    spark.createDataFrame(rows[3:], schema).coalesce(1).write.parquet(f"{tmp_path}/in/2")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = stream_min_gap(stream, 10.0, 0.5).writeStream.format("memory").queryName("cuts").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("cuts").collect())) == [("a", 11.0), ("a", 21.5), ("b", 50.0)]
+def test_tumbling_windows(spark):
     ev = spark.sql("SELECT timestamp_ntz'2024-01-01 00:10:00' ts, 'click' event_type, 1.0D value UNION ALL SELECT timestamp_ntz'2024-01-01 01:10:00', 'click', 2.0D")
     assert [r.n for r in tumbling_counts(ev).collect()] == [1, 1]
 
