@@ -19,8 +19,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``keep``: which id of a group stays, ``smallest`` or ``largest``.  ``digest`` gives the 128-bit hash of a string
     column as binary (MD5 by default; tests pass a poor one to force collisions).
-    Null text counts as empty; empty texts are copies of each other.  A repeated id counts once per row.  An empty table
-    gives no rows.  Other columns are ignored.
+    Null text counts as empty; empty texts are copies of each other; very long texts are compared whole.  A repeated id counts once per row.
+    A row without an id counts in its group but never stays: its kept is null, as is keep_id where the whole group has no id.  Ids in one group are
+    ordered, so there are no ties but repeated rows, which all stay or go.  An empty table gives no rows.  Other columns are ignored.
     """
     digest = digest or (lambda c: F.unhex(F.md5(c.cast("binary"))))
     best = {"smallest": F.min, "largest": F.max}[keep]

@@ -150,7 +150,8 @@ def identify(docs: DataFrame, train=None, labelled: DataFrame | None = None, id_
     probabilities are the mean over its positions.  It is fitted on whole texts of at most SAMPLE_PER_LANG documents per
     language (SAMPLE_ROWS in all) of ``labelled`` (``docs`` itself by default) that meet ``train``.
     Null text and text without a letter is ``und`` with score 0; so is everything if no row is labelled.  Equal
-    probabilities give the first language in order.  Ids may repeat: each row is scored by itself.
+    probabilities give the first language in order.  Each row is scored by itself, very long texts whole: ids may repeat or be null (a null id has no
+    fold, so op10's held_out is null).  An empty table gives no rows; other columns are ignored.
     """
     rows = sample(docs if labelled is None else labelled, F.lit(True) if train is None else train, id_col, text_col, lang_col)
     bounded_batches(docs.sparkSession)

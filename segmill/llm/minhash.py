@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document with fewer words than ``shingle`` has its whole sequence as its one shingle.  Null or wordless text has no shingle, is linked
     with nothing and stays.  A row that repeats an id and its text gives one more equal row.  An id that stands with several texts is one node: a link of one
-    of its texts is a link of that id.  Very long texts are taken whole; ties do not occur, as ids are ordered.  An empty table gives no rows; other columns are ignored.
+    of its texts is a link of that id.  A row without an id is never kept and
+    links nothing.  Very long texts are taken whole; ties do not occur, as ids are ordered.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")

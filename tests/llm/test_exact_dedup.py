@@ -34,3 +34,9 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a", None, None)] * 3
     assert [r.group_size for r in exact_dedup(spark.createDataFrame(rows, SCHEMA)).collect()] == [3, 3, 3]
     assert exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_null_ids(spark):
+    rows = [(None, "a", None, None), (2, "a", None, None), (None, "b", None, None), (None, "b", None, None), (3, None, None, None)]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(spark.createDataFrame(rows, SCHEMA), keep="largest").collect()), key=str)
+    assert got == sorted([(None, 2, 2, None), (2, 2, 2, True), (None, None, 2, None), (None, None, 2, None), (3, 3, 1, True)], key=str)

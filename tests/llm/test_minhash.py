@@ -104,3 +104,11 @@ def test_components(spark):
 def test_repeated_rows(spark):
     rows = [(4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (9, "a b c d e f g")]
     assert run(spark, rows, 5) == [(2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False), (9, 3, 9, True)]
+
+
+def test_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (1, text), (2, text + " end"), (3, None), (None, "other words that stand alone here")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(1, 1, True), (2, 1, False), (3, 3, True)]
+    assert all(not r.kept for r in got if r.doc_id is None)

@@ -70,3 +70,13 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
 def test_run_is_the_stages_in_order(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "toxicity", "exact dedup", "MinHash near-dedup", "best-fit packing"]
     assert corpus_pipeline.run(spark, folder).count() > 200
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.count() == 0 and (k == 4 or got.columns == corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
