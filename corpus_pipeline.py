@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame; all but the last return
 the columns of ``documents``.  A caller may write each stage's result and reread it, as :func:`run` does.
+
+Null and empty texts have no letter, so the first stage takes them out; texts are taken whole, however long.  Rows that repeat an id and its text
+stay together or go together.  A row without an id goes at the dedup stages, as nothing can keep it.  Ties: of equal texts the largest id
+stays, of near copies the least; a toxicity of exactly one half goes.  Further columns are left out.  Empty tables give empty results.
 """
 
 from __future__ import annotations
