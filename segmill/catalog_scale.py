@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from segmill import catalog as C
 from segmill.functions import images
 from segmill.functions.hashes import mean_bits
+from segmill.functions.text import clock_seconds, duration, positive
 from segmill.operators import dedup, frames, model, ranged, similar
 from segmill.operators.intervals import scene_name
+from segmill.params import valid_number
 from segmill.plans.long_segments import long_smart_segments, long_stamps
 from segmill.shared import shared_folder
 from segmill.sources.export import export_results, export_segments
@@ -133,10 +135,21 @@ def hot_adaptive_stamps(spark, sf_dir):
     return long_stamps(hot(spark, sf_dir), C.ADAPTIVE, head=True)
 
 
+def number_ranges(spark, sf_dir):
+    """Decimal numbers within their ranges, from texts with signs, spaces and other things in them; and the length of a video or that it has none."""
+    k = F.col("o_orderkey")
+    text_ = F.concat(F.element_at(F.array(F.lit(""), F.lit(" "), F.lit("-"), F.lit("x")), (k % 4 + 1).cast("int")), F.format_string("%d.%d", k % 700, k % 10))
+    log = F.when(k % 3 == 0, F.format_string("Duration: 00:%02d:01", k % 60))
+    known = F.coalesce(positive(text_), clock_seconds(log)).isNotNull()
+    return C.read(spark, sf_dir, "orders").select(
+        "o_orderkey", valid_number(text_, 1, 600).alias("seconds"), valid_number(text_, 0.0, 1.0).alias("share"), known.alias("known"), duration(F.when(known, text_), F.when(known, log).otherwise("Duration: 0:0:0")).alias("length")
+    )
+
+
 def queries() -> dict:
     return {
         "hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts,
-        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "model_odd_frames": model_odd_frames, "export_report": export_report, "hot_smart_pipeline": hot_smart_pipeline, "hot_adaptive_stamps": hot_adaptive_stamps, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
+        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "model_odd_frames": model_odd_frames, "export_report": export_report, "number_ranges": number_ranges, "hot_smart_pipeline": hot_smart_pipeline, "hot_adaptive_stamps": hot_adaptive_stamps, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
     }
 
 
@@ -173,6 +186,10 @@ def _hot_plan(parts: list[str], select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "number_ranges": """WITH n AS (SELECT o_orderkey, o_orderkey % 4 AS kind, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN -1 END * (o_orderkey % 700 + (o_orderkey % 10) / 10.0::DOUBLE) AS x,
+                CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 60 * 60 + 1 AS DOUBLE) END AS log FROM orders),
+            k AS (SELECT *, (kind < 2 AND x > 0) OR log IS NOT NULL AS known FROM n)
+            SELECT o_orderkey, CASE WHEN x BETWEEN 1 AND 600 THEN x END AS seconds, CASE WHEN x BETWEEN 0 AND 1 THEN x END AS share, known, CASE WHEN x > 0 THEN x WHEN known THEN log ELSE 0 END AS length FROM k""",
         "hot_smart_pipeline": _hot_plan(C._SMART, "SELECT video_id, seg, t, round(dur, 3) AS dur, parts FROM segs"),
         "hot_adaptive_stamps": _hot_plan([*C._ADAPTIVE, *C._head("merged")], "SELECT video_id, t FROM stamps"),
         "hot_gap_cuts": C._with([_HOT, "q AS (SELECT DISTINCT video_id, t FROM hl WHERE scene > 0.1)", _greedy("k", "q", 0.5, ">", True)], "SELECT video_id, t FROM k"),
