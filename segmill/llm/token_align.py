@@ -27,6 +27,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _by_ranks(spec: dict) -> ByteBpe | None:
+    """A tokenizer as byte ranks, if its file says nothing that ranks could not."""
+    import public_tokenizers
+
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
+    if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"]["".join(m)] for m in pairs]
+    alphabet = byte_alphabet()
+    if made != sorted(made) or any(model["vocab"].get(c, made[0]) >= made[0] for c in alphabet):
+        return None
+    added = {t["content"] for t in spec.get("added_tokens") or []}
+    ranks = b"".join(base64.b64encode(bytes(alphabet[c] for c in t)) + b" %d\n" % i for t, i in model["vocab"].items() if t not in added)
+    return ByteBpe(ranks, public_tokenizers.PATTERN)  # the pattern of byte-level files
+
+
 class Tokenizers:
     """A byte-level tokenizer A and a SentencePiece model B over the same text with one space before it.
 
@@ -39,37 +57,24 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_str(a_json)
-        self._a.encode_special_tokens = True  # their strings are ordinary text
-        self._b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        alphabet = byte_alphabet()
-        self.a_bytes = [b""] * self._a.get_vocab_size()
-        for token, i in self._a.get_vocab().items():
+        spec, alphabet = json.loads(a_json), byte_alphabet()
+        self._ranked, self._a = _by_ranks(spec), None
+        if self._ranked:  # then the other library need not stay in memory
+            vocabulary = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        else:
+            self._a = Tokenizer.from_str(a_json)
+            self._a.encode_special_tokens = True  # their strings are ordinary text
+            vocabulary = self._a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        self._b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         pieces = [self._b.id_to_piece(i) for i in range(len(self._b))]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self._ranked = self._by_ranks(json.loads(a_json))
         a, b = 2 * len(self.a_bytes), 2 * len(self.b_bytes)
         self.names = [f"{i // 2}{',|'[i % 2]}" for i in range(a)] + [f"{i // 2}{',;'[i % 2]}" for i in range(b)]
 
-    def _by_ranks(self, spec: dict) -> ByteBpe | None:
-        """A as byte ranks, if its file says nothing that ranks could not."""
-        import public_tokenizers
-
-        model, split = spec["model"], spec.get("pre_tokenizer") or {}
-        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
-        if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
-            return None
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        made = [model["vocab"]["".join(m)] for m in pairs]
-        alphabet = byte_alphabet()
-        if made != sorted(made) or any(model["vocab"].get(c, made[0]) >= made[0] for c in alphabet):
-            return None
-        added = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = b"".join(base64.b64encode(self.a_bytes[i]) + b" %d\n" % i for t, i in model["vocab"].items() if t not in added)
-        return ByteBpe(ranks, public_tokenizers.PATTERN)  # the pattern of byte-level files
-
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text by A and by B; none where either does not give back the bytes of the text."""
         out = []
