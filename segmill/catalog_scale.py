@@ -21,6 +21,7 @@ from segmill.plans.long_segments import long_smart_segments, long_stamps
 from segmill.shared import shared_folder
 from segmill.sources.export import export_results, export_segments
 from segmill.sources.frames import frame_table, write_frames
+from segmill.streaming.ordered import stream_cuts, stream_segments
 
 
 def hot(spark, sf_dir) -> DataFrame:
@@ -135,6 +136,38 @@ def hot_adaptive_stamps(spark, sf_dir):
     return long_stamps(hot(spark, sf_dir), C.ADAPTIVE, head=True)
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _streamed(spark, rows: DataFrame, build, time: str) -> DataFrame:
+    """What a stream gives for rows that arrive in three parts, each with times from all over the timelines, and then two late marks of user -1 that move the watermark past them."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(time), F.lit(3)))
+    marks = [rows.limit(1).withColumn("video_id", F.lit(-1).cast("long")).withColumn(time, F.lit(float(t))) for t in (10_000, 20_000)]
+    for k, part in enumerate([rows.where(F.col("part") == k) for k in range(3)] + marks):
+        part.drop("part").coalesce(1).write.parquet(f"{root}/in/{k}")
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+        out = build(stream)
+        query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+    return spark.read.schema(out.schema).parquet(f"{root}/out").where("video_id >= 0")
+
+
+def streamed_cuts(spark, sf_dir):
+    rows = C.timeline(spark, sf_dir).select("video_id", "pts_time", "scene")
+    return _streamed(spark, rows, lambda s: stream_cuts(s, 10.0, 0.1, late="800 seconds"), "pts_time").withColumnRenamed("pts_time", "t")
+
+
+def streamed_segments(spark, sf_dir):
+    rows = C.timeline(spark, sf_dir).select("video_id", F.col("pts_time").alias("t"), F.lit(1.0).alias("dur"), "p", "c")
+    return _streamed(spark, rows, lambda s: stream_segments(s, late="800 seconds", idle=5000.0), "t")
+
+
 def number_ranges(spark, sf_dir):
     """Decimal numbers within their ranges, from texts with signs, spaces and other things in them; and the length of a video or that it has none."""
     k = F.col("o_orderkey")
@@ -149,7 +182,7 @@ def number_ranges(spark, sf_dir):
 def queries() -> dict:
     return {
         "hot_gap_cuts": hot_gap_cuts, "hot_enforced_gap": hot_enforced_gap, "hot_neighbours": hot_neighbours, "hot_frame_lookup": hot_frame_lookup, "hot_islands": hot_islands, "hot_cuts": hot_cuts,
-        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "model_odd_frames": model_odd_frames, "export_report": export_report, "number_ranges": number_ranges, "hot_smart_pipeline": hot_smart_pipeline, "hot_adaptive_stamps": hot_adaptive_stamps, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
+        "frame_ranges": frame_ranges, "hamming_near": hamming_near, "hot_segments": hot_segments, "model_odd_frames": model_odd_frames, "export_report": export_report, "number_ranges": number_ranges, "streamed_cuts": streamed_cuts, "streamed_segments": streamed_segments, "hot_smart_pipeline": hot_smart_pipeline, "hot_adaptive_stamps": hot_adaptive_stamps, "shrunk_hist": shrunk_hist, "shrunk_prints": shrunk_prints,
     }
 
 
@@ -186,6 +219,8 @@ def _hot_plan(parts: list[str], select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "streamed_cuts": C.oracle_sql()["min_gap_cuts"],
+        "streamed_segments": C._with(["cand AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t, p, c) AS i, t, 1.0::DOUBLE AS dur, p, c FROM tl)", C._RULE], "SELECT video_id, seg, t, dur, parts FROM segs"),
         "number_ranges": """WITH n AS (SELECT o_orderkey, o_orderkey % 4 AS kind, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN -1 END * (o_orderkey % 700 + (o_orderkey % 10) / 10.0::DOUBLE) AS x,
                 CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 60 * 60 + 1 AS DOUBLE) END AS log FROM orders),
             k AS (SELECT *, (kind < 2 AND x > 0) OR log IS NOT NULL AS known FROM n)
