@@ -47,6 +47,20 @@ def enforce_gap(times: Column, gap) -> Column:
     return zero_start(min_gap(F.array_sort(times), gap, strict=False))
 
 
+def lower_bound(items: Column, field: str, value: Column) -> Column:
+    """Place (from 0) of the first of sorted structs whose ``field`` is at least ``value``, or their number: a binary search, for arrays that many values are looked up in."""
+    ends = F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi"))
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        less = F.coalesce(F.get(items, mid)[field] < value, F.lit(True))  # structs without the field come first
+        open_ = a["lo"] < a["hi"]
+        return F.struct(F.when(open_ & less, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~less, mid).otherwise(a["hi"]).alias("hi"))
+
+    halvings = F.sequence(F.lit(0), F.floor(F.log2(F.size(items) + 1)).cast("int"))
+    return F.aggregate(halvings, ends, step, lambda a: a["lo"])
+
+
 def far_from(times: Column, others: Column, distance) -> Column:
     """Times with no other within ``distance`` (a range anti join inside the row)."""
     distance = distance if isinstance(distance, Column) else F.lit(float(distance))

@@ -55,7 +55,11 @@ def smart_segments(scores: DataFrame, duration: Column, o: Options, p: str = "p"
     grouped = stamps(marks(scores, p, c, key=key), o, head)
     pieces = grouped.withColumn("pieces", long_enough(intervals(F.col("stamps"), duration)))
 
-    hashed = F.transform("pieces", lambda x: F.struct(x["t"].alias("t"), x["dur"].alias("dur"), F.try_element_at(F.filter("marks", lambda m: (m["pts_time"] >= x["t"]) & (m["pts_time"] < x["t"] + REACH)), F.lit(1)).alias("f")))
-    cands = F.transform(hashed, lambda x: F.struct(x["t"].alias("t"), x["dur"].alias("dur"), x["f"][p].alias("p"), x["f"][c].alias("c")))
+    found = F.transform("pieces", lambda x: F.struct(x["t"].alias("t"), x["dur"].alias("dur"), F.get("marks", B.lower_bound(F.col("marks"), "pts_time", x["t"])).alias("f")))
+
+    def near(x: Column, name: str) -> Column:
+        return F.when(x["f"]["pts_time"] < x["t"] + REACH, x["f"][name]).alias("p" if name == p else "c")
+
+    cands = F.transform(found, lambda x: F.struct(x["t"].alias("t"), x["dur"].alias("dur"), near(x, p), near(x, c)))
     out = pieces.select(key, F.posexplode(merge_drop_new(cands)).alias("seg", "s"))
     return out.select(key, F.col("seg").cast("long").alias("seg"), "s.t", "s.dur", "s.parts", scene_name(F.col("seg"), F.col("s.t")).alias("name"))

@@ -110,3 +110,14 @@ def test_names_and_commands(spark):
     assert value(spark, output_dir(F.lit("/a/b.c.mp4"))) == "/a/b.c_Scenes"
     got = value(spark, cut_command(F.lit("/i.mp4"), F.lit("/o.mp4"), F.lit(1.0), F.lit(2.5), False, F.lit("h264_qsv"), F.lit(True)))
     assert got == '-y -hwaccel auto -ss 1.000 -t 2.500 -i "/i.mp4" -c:v h264_qsv -c:a aac "/o.mp4"'
+
+
+def test_lower_bound(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(60):
+        items = sorted((rnd.choice([None, *[round(rnd.uniform(0, 9), 1) for _ in range(9)]]) for _ in range(rnd.choice([0, 1, 2, 3, 7, 8, 9, 40]))), key=lambda x: -1 if x is None else x)
+        rows.append((i, [(x, 1) for x in items], [rnd.uniform(-1, 10), items[0] if items and items[0] is not None else 5.0, 99.0]))
+    df = spark.createDataFrame(rows, "i int, items array<struct<t: double, x: int>>, ask array<double>")
+    for r in df.select("items", "ask", F.transform("ask", lambda v: B.lower_bound(F.col("items"), "t", v)).alias("got")).collect():
+        assert r.got == [next((k for k, y in enumerate(r["items"]) if y.t is not None and y.t >= v), len(r["items"])) for v in r.ask]
