@@ -91,7 +91,11 @@ def candidates(hashes: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     key = ["w", "block", "value"]
     crowded = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n")
     x = F.col("ha").bitwiseXOR(F.col("hb"))
-    met = asking.join(stored.join(crowded, key, "left_anti"), key).where((F.col("ha") < F.col("hb")) & (_first(x, asked) == F.col("block")))
+    alone = (F.col("ha") < F.col("hb")) & (_first(x, asked) == F.col("block"))
+    out = ["w", "ha", "hb", hamming(F.col("ha"), F.col("hb")).cast("long").alias("distance")]
+    if crowded.isEmpty():
+        return asking.join(stored, key).where(alone).select(*out)
+    met = asking.join(stored.join(crowded, key, "left_anti"), key).where(alone)
 
     def choose(of) -> Column:
         """What ``of`` gives for the row's block."""
@@ -102,8 +106,8 @@ def candidates(hashes: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     asking_twice = asking.join(crowded, key, "left_semi").withColumn("k", F.explode(choose(lambda i: F.concat(*[_around(ha, c, r, j) for j, c, r in within[i]]).cast("array<struct<second:int,part:bigint>>"))))
     both = [*key, "second", "part"]
     twice = asking_twice.select("ha", *key, "k.second", "k.part").join(stored_twice.select("hb", *key, "k.second", "k.part"), both)
-    twice = twice.where((ha < hb) & (_first(x, asked) == F.col("block")) & (choose(lambda i: _first(x, within[i])) == F.col("second")))
-    return met.select("w", "ha", "hb").unionByName(twice.select("w", "ha", "hb")).withColumn("distance", hamming(ha, hb).cast("long"))
+    twice = twice.where(alone & (choose(lambda i: _first(x, within[i])) == F.col("second")))
+    return met.select(*out).unionByName(twice.select(*out))
 
 
 def linked_hashes(rows: DataFrame, hash_col: str, distance: int, within: str | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
